@@ -9,9 +9,12 @@ a probability of at most MISS. Pairs are then counted on whole signatures and co
 on whole sets.
 
 Copies: equal sets are one node from the start. Groups of near copies are first linked
-to two leaders of each large posting list (linear work); only rows of a list that still
+to leaders of each large posting list, its most typical node (whose keys are the most
+frequent: the original of its copies) and its smallest one (linear work); only rows of a list that still
 lie in different components are then paired (skip merging), so a group is not expanded
-into all its pairs, and no link between components is left out.
+into all its pairs, and no link between components is left out. In large lists a pair is
+skipped if u shingles that no other node of such lists has rule it out: at most n - u are
+shared and the union is u larger than the other set.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ K = 128
 MISS = 1e-5
 SHARED = 2
 SKETCH_BITS = 20
+BLOOM_BITS, UNIQUE_BITS = 24, 22
 LARGE = 12
 _TILE = 1 << 15
 
@@ -105,7 +109,7 @@ def _sketch(size: int, k: int):
             if full:
                 lens = np.array([len(s) for s in full])
                 sig = iter(signatures(np.concatenate(full), np.cumsum(lens) - lens, k))
-            nodes = [int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))) if len(s) else None for s in sets]
+            nodes = [_node(s) if len(s) else None for s in sets]
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
                 ["doc_id", "n_shingles", "node", "sig"],
@@ -137,38 +141,127 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, k)
 
 
-def frequency_sketch(classes: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counts of all keys in 2**bits buckets: a bounded array, whatever the input."""
-    slices, width = 64, (1 << bits) // 64
+def _table(df: DataFrame, fill, dtype, size: int, join) -> np.ndarray:
+    """A bounded array over all rows of df: ``fill`` adds a batch to a partition's array,
+    arrays are joined slice by slice, and only the result comes to the driver."""
+    slices = 64
+    width = size // slices
 
-    def count(batches):
-        total = np.zeros(1 << bits, np.int64)
+    def partial(batches):
+        total = np.zeros(size, dtype)
+        used = False
         for batch in batches:
             if batch.num_rows:
-                at = (_keys(_matrix(batch.column(0), k)) >> np.uint64(64 - bits)).ravel().astype(np.int64)
-                total += np.bincount(at, minlength=1 << bits)
-        if total.any():
-            parts = [total[i * width : (i + 1) * width].astype(np.int32).tobytes() for i in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+                used = True
+                fill(total, batch)
+        if used:
+            parts = [total[i * width : (i + 1) * width].tobytes() for i in range(slices)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
 
-    def add(batches):
+    def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(b, np.int32).astype(np.int64)
-        out = [np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["slice", "counts"])
-
-    kind = "slice int, counts binary"
-    rows = classes.select("sig").mapInArrow(count, kind).repartition(8, "slice").mapInArrow(add, kind).collect()
-    table = np.zeros(1 << bits, np.int32)
-    for r in rows:
-        table[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int32)
+            for i, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(b.as_buffer(), dtype)
+                sums[i] = join(sums[i], part) if i in sums else part.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "part"])
+
+    kind = "slice int, part binary"
+    table = np.zeros(size, dtype)
+    for r in df.mapInArrow(partial, kind).repartition(16, "slice").mapInArrow(merge, kind).collect():
+        table[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["part"], dtype)
     return table
 
 
+def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a.astype(np.int64) + b, np.iinfo(a.dtype).max).astype(a.dtype)
+
+
+def frequency_sketch(classes: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Counts of all keys in 2**bits buckets: a bounded array, whatever the input."""
+
+    def fill(total, batch):
+        at = (_keys(_matrix(batch.column(0), k)) >> np.uint64(64 - bits)).ravel().astype(np.int64)
+        total[:] = _saturating(total, np.bincount(at, minlength=len(total)))
+
+    return _table(classes.select("sig"), fill, np.int32, 1 << bits, _saturating)
+
+
+def _bloom_bits(ids: np.ndarray) -> np.ndarray:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return np.stack([h >> np.uint64(64 - BLOOM_BITS), mix(h + np.uint64(1)) >> np.uint64(64 - BLOOM_BITS)]).astype(np.int64)
+
+
+def _sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, set of the given nodes (and a few more). Texts are not shuffled: a Bloom
+    filter of bounded size over the nodes' smallest doc_ids picks the rows to shingle."""
+    needed = classes.join(nodes, "node", "left_semi").where("rep is not null").select("rep")
+
+    def fill(total, batch):
+        bits = _bloom_bits(batch.column(0).to_numpy(zero_copy_only=False)).ravel()
+        np.bitwise_or.at(total, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+
+    bloom = texts.sparkSession.sparkContext.broadcast(_table(needed, fill, np.uint8, 1 << (BLOOM_BITS - 3), np.bitwise_or))
+
+    def run(batches):
+        hashes, table = _Hashes(), bloom.value
+        for batch in batches:
+            ids = batch.column(0)
+            bits = _bloom_bits(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            may = ((table[bits >> 3] >> (bits & 7)) & 1).all(axis=0) | ids.is_null().to_numpy(zero_copy_only=False)
+            nodes, sets = [], []
+            for i in np.flatnonzero(may).tolist():
+                s = shingle_set(batch.column(1)[i].as_py(), size, hashes)
+                if len(s):
+                    nodes.append(_node(s))
+                    sets.append(s.tobytes())
+                if len(nodes) == 512:
+                    yield _set_batch(nodes, sets)
+                    nodes, sets = [], []
+            yield _set_batch(nodes, sets)
+
+    return durable(texts.mapInArrow(run, "node long, set binary"), "sets")
+
+
+def _set_batch(nodes: list[int], sets: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+
+
+def _node(s: np.ndarray) -> int:
+    """The identity of a set."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """node, own: a lower bound of the shingles that no other of these nodes has, by a
+    bounded table of counts (shingles that share a bucket count as shared)."""
+    shift = np.uint64(64 - UNIQUE_BITS)
+
+    def places(batch, i):
+        return (np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64) >> shift).astype(np.int64)
+
+    def fill(total, batch):
+        for i in range(batch.num_rows):
+            at, n = np.unique(places(batch, i), return_counts=True)
+            total[at] = np.minimum(total[at].astype(np.int64) + n, 2)
+
+    def join(a, b):
+        return np.minimum(a + b, 2)
+
+    sets = sets.dropDuplicates(["node"])
+    counts = sets.sparkSession.sparkContext.broadcast(_table(sets, fill, np.uint8, 1 << UNIQUE_BITS, join))
+
+    def run(batches):
+        for batch in batches:
+            own = [int((counts.value[places(batch, i)] == 1).sum()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["node", "own"])
+
+    return durable(sets.mapInArrow(run, "node long, own long"), "own")
+
+
 def postings(classes: DataFrame, k: int, prefix: int, sketch: np.ndarray) -> DataFrame:
-    """key, node, n_shingles: each node under its ``prefix`` rarest keys."""
+    """key, node, n_shingles, typical: each node under its ``prefix`` rarest keys;
+    ``typical`` sums the logarithms of the frequencies of all its keys."""
     shared = classes.sparkSession.sparkContext.broadcast(sketch)  # 4 MB at 2**20 buckets
     shift = np.uint64(64 - int(np.log2(len(sketch))))
 
@@ -178,17 +271,24 @@ def postings(classes: DataFrame, k: int, prefix: int, sketch: np.ndarray) -> Dat
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 keys = _keys(_matrix(part.column(2), k))
-                order = np.lexsort((keys, counts[(keys >> shift).astype(np.int64)]), axis=1)[:, :prefix]
+                often = counts[(keys >> shift).astype(np.int64)]
+                order = np.lexsort((keys, often), axis=1)[:, :prefix]
+                typical = np.repeat(np.log2(np.maximum(often, 1)).sum(axis=1).astype(np.float32), prefix)
                 picked = np.take_along_axis(keys, order, axis=1)
                 node, n = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), prefix) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(picked.ravel().view(np.int64)), pa.array(node), pa.array(n)], ["key", "node", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(picked.ravel().view(np.int64)), pa.array(node), pa.array(n), pa.array(typical)], ["key", "node", "n_shingles", "typical"])
 
-    return classes.select("node", "n_shingles", "sig").mapInArrow(run, "key long, node long, n_shingles long")
+    return classes.select("node", "n_shingles", "sig").mapInArrow(run, "key long, node long, n_shingles long, typical float")
 
 
-def _close(percent: int, a: str, b: str):
-    """Set sizes allow the similarity."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _meet(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of one key but two components that sizes and own shingles allow."""
+    rows = durable(rows.select("key", "node", "n_shingles", "comp", "own"), "rows")
+    x, y = (rows.select("key", F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("comp").alias(f"c{k}"), F.col("own").alias(f"u{k}")) for k in "ab")
+    able = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
+    for p, q in ("ab", "ba"):
+        able &= (F.col(f"n{p}") - F.col(f"u{p}")) * 100 >= (F.col(f"n{q}") + F.col(f"u{p}")) * percent
+    return x.join(y, (x["key"] == y["key"]) & able).select("a", "b")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
@@ -206,23 +306,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets reach the similarity. Only texts of nodes in pairs move on."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node")
-
-    def to_sets(batches):
-        hashes = _Hashes()
-        for batch in batches:
-            nodes, sets = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingle_set(text.as_py(), size, hashes)
-                if len(s) and int(np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))) == node:
-                    nodes.append(node)
-                    sets.append(s.tobytes())
-                if len(nodes) == 512:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
-                    nodes, sets = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+    """Pairs whose whole sets reach the similarity."""
+    sets = _sets(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size)
 
     def check(batches):
         for batch in batches:
@@ -231,19 +316,13 @@ def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int,
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    rows = texts.join(needed, "doc_id").select("node", "text").mapInArrow(to_sets, "node long, set binary")
-    sets = durable(rows.dropDuplicates(["node"]) if _repeats(texts) else rows, "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _repeats(texts: DataFrame) -> bool:
-    """Whether a doc_id occurs twice."""
-    return bool(texts.groupBy("doc_id").count().where("count > 1").head(1))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node that each node of an edge list reaches.
 
@@ -277,20 +356,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     full = sketches.where("node is not null")
     classes = durable(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
     posts = durable(postings(classes, k, prefix, frequency_sketch(classes, k)), "postings")
-    lists = durable(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"), "lists")
+    lists = durable(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max_by("node", F.struct("typical", "node")).alias("hi")).where("n > 1"), "lists")
 
     large = lists.where(F.col("n") >= LARGE).select("key", F.array("lo", "hi").alias("leaders"))
     star = posts.join(large, "key").select(F.col("node").alias("a"), F.explode("leaders").alias("b")).where("a != b").distinct()
     linked = durable(_confirm(durable(_alike(star, classes, k, t), "pairs"), texts, classes, shingle, percent), "links")
     first = components(linked)
 
-    posts = posts.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_keys = posts.join(lists.select("key"), "key").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    rest = durable(posts.join(durable(open_keys, "open"), "key"), "rest")
-    x = rest.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca"))
-    y = rest.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))
-    meet = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _close(percent, "na", "nb"))
-    pairs = meet.groupBy("a", "b").count().where(F.col("count") >= SHARED).select("a", "b")
+    posts = posts.drop("typical").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    keys = posts.join(lists.select("key", "n"), "key").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n"))
+    open_keys = durable(keys.where("lo != hi").select("key", (F.col("n") >= LARGE).alias("large")), "open")
+    rest = durable(posts.join(open_keys, "key"), "rest")
+    own = own_shingles(_sets(texts, classes, rest.where("large").select("node").distinct(), shingle))
+    meet = _meet(rest.where("not large").withColumn("own", F.lit(0).cast("long")), percent).union(
+        _meet(rest.where("large").join(own, "node", "left").fillna(0, ["own"]), percent)
+    )
+    pairs = durable(meet.groupBy("a", "b").count().where(F.col("count") >= SHARED).select("a", "b"), "met")
     more = _confirm(durable(_alike(pairs, classes, k, t), "pairs"), texts, classes, shingle, percent)
     comps = components(durable(linked.union(more), "links"))
 
