@@ -43,13 +43,25 @@ NEEDS = {
     "weak_secret": ("access", "weak_id"),
     "endpoint": ("access", "weak_id"),
 }
-#: A cheap test that a text can hold the kind at all.
-HINTS = {"access": "AKIA", "weak_id": "(?:ASIA|AROA|AIDA)", "endpoint": "https?://"}
+#: Strings of which a text that holds the kind holds one (of assignments: in any case).
+HINTS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("AKIA",), "weak_id": ("ASIA", "AROA", "AIDA"), "endpoint": ("://",)}
+
+
+def _may_hold(text: Column, kind: str) -> Column:
+    """A cheap test before the positions of a kind are looked for."""
+    if kind not in HINTS:
+        return text.rlike((STRONG | WEAK)[kind][0])
+    seen = F.lower(text) if kind == "assign" else text
+    hit = F.lit(False)
+    for h in HINTS[kind]:
+        hit = hit | F.contains(seen, F.lit(h))
+    return hit
 
 
 def _found(text: Column, kind: str, pattern: str, least: int) -> Column:
     """array<struct<start, end, kind>> of a kind's matches that are long enough."""
-    whole = F.lit(f"(?s)(.*?)({pattern})")
+    # \G: a search that fails at the text's tail is not begun anew at each place of it
+    whole = F.lit(f"\\G(?s:(.*?))({pattern})")
     gaps, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
     spans = F.transform(
         F.arrays_zip(gaps.alias("g"), hits.alias("h")),
@@ -64,9 +76,8 @@ def _found(text: Column, kind: str, pattern: str, least: int) -> Column:
         return F.struct(b.alias("at"), F.when(z["own"] >= least, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(spans, start, step, lambda acc: acc["out"])
-    quick = text.rlike(HINTS.get(kind) or pattern)
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(quick, found).otherwise(empty)
+    return F.when(_may_hold(text, kind), found).otherwise(empty)
 
 
 def _value_length(hit: Column, kind: str) -> Column:
