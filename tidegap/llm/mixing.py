@@ -49,7 +49,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0))
     share = F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0))
     rows = rows.withColumn("_level", left / share)
-    level = F.min(F.when(F.col("_level") <= F.col("_r"), F.col("_level"))).over(whole)
+    rows = rows.withColumn("_i", F.row_number().over(fill))
+    level = F.min(F.when(F.col("_level") <= F.col("_r"), F.struct("_i", "_level"))).over(whole)["_level"]
     target = F.least(F.col("_cap").cast("double"), F.col("_w") * level)
     return rows.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
@@ -125,9 +126,9 @@ with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}'
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, ([1, 2, 3])[((row_number() over (order by source is null, source) - 1) % 3 + 1)::int] as w from s),
 r as (select *, 3 * source_size as cap, 3 * source_size / w as ratio from w),
-l as (select *, ((sum(source_size) over () - coalesce(sum(cap) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)))::double as level
+l as (select *, row_number() over (order by ratio, source is null, source) as i, ((sum(source_size) over () - coalesce(sum(cap) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)))::double as level
     from r window b as (order by ratio, source is null, source rows between unbounded preceding and 1 preceding)),
-t as (select *, coalesce(least(cap::double, w * min(case when level <= ratio then level end) over ()), 0) as target from l),
+t as (select *, coalesce(least(cap::double, w * arg_min(level, i) filter (level <= ratio) over ()), 0) as target from l),
 g as (select *, case when source_size > 0 then least(floor(target / source_size), 3)::bigint else 0 end as base from t),
 c as (select d.*, g.source_size, g.target, g.base, g.target - g.base * g.source_size as rest,
     sum(size) over (partition by d.source order by h range between unbounded preceding and current row) as cum,
