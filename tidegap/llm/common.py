@@ -35,6 +35,38 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of texts hold ``rows`` rows at most: worker memory follows them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def trim() -> None:
+    """Give freed memory back at the end of a task; workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """``run`` (for mapInArrow) with ``trim`` at its end."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def words(text: str | None) -> list[bytes]:
     """Words as UTF-8 bytes: bytes.split() knows exactly the six separators of WORD."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegap.llm.common import small_batches, trimmed
+
 #: Bound of the training sample: documents, and characters of a passage of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2400, 400
 HIDDEN, STEPS, BATCH, SPAN, RATE = 8, 220, 192, 48, 0.03
@@ -243,9 +245,10 @@ def identify(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = (
                 if i < batch.num_rows and column[i].is_valid:
                     room += column[i].as_buffer().size
 
+    small_batches(docs.sparkSession)
     names = list(dict.fromkeys(keep))
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(trimmed(run), f"{kinds}, lang_pred string, score double")
 
 
 def _answer(net: Network | None, part: pa.RecordBatch) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegap.llm.common import durable
+from tidegap.llm.common import durable, small_batches, trimmed
 
 #: Mean lines of a chunk is about CUT; a chunk has MAX_LINES at most.
 CUT, MAX_LINES = 3, 64
@@ -98,12 +98,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     that share a doc_id count as one document, so they keep what one of them keeps.
     Two chunks with one hash but different bytes are both kept.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    posts = durable(rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(_post, "hash long, doc_id long, place int"), "chunks")
+    posts = durable(rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_post), "hash long, doc_id long, place int"), "chunks")
     first = F.min(F.struct("doc_id", "place"))
     repeated = durable(posts.groupBy("hash").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").drop("n"), "repeated")
     joined = _with_marks(docs, posts, repeated)
-    seen = joined.where("_marks is not null").select("text", "_marks").mapInArrow(_marked, "hash long, chunk string")
+    seen = joined.where("_marks is not null").select("text", "_marks").mapInArrow(trimmed(_marked), "hash long, chunk string")
     clash = durable(seen.distinct().groupBy("hash").count().where("count > 1").select("hash"), "clash")
     if clash.head(1):
         joined = _with_marks(docs, posts, repeated.join(clash, "hash", "left_anti"))
@@ -141,7 +142,7 @@ def _rewrite(docs: DataFrame, joined: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3))], [*names, *COUNTS])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = joined.select(*[F.col(f"`{n}`") for n in names], "_marks").mapInArrow(run, kinds + "".join(f", {c} long" for c in COUNTS))
+    out = joined.select(*[F.col(f"`{n}`") for n in names], "_marks").mapInArrow(trimmed(run), kinds + "".join(f", {c} long" for c in COUNTS))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegap.llm.common import durable, words
+from tidegap.llm.common import durable, small_batches, trimmed, words
 
 K = 128
 MISS = 1e-5
@@ -168,7 +168,7 @@ def _table(df: DataFrame, fill, dtype, size: int, join) -> np.ndarray:
 
     kind = "slice int, part binary"
     table = np.zeros(size, dtype)
-    for r in df.mapInArrow(partial, kind).repartition(16, "slice").mapInArrow(merge, kind).collect():
+    for r in df.mapInArrow(trimmed(partial), kind).repartition(16, "slice").mapInArrow(trimmed(merge), kind).collect():
         table[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["part"], dtype)
     return table
 
@@ -220,7 +220,7 @@ def _sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) ->
                     nodes, sets = [], []
             yield _set_batch(nodes, sets)
 
-    return durable(texts.mapInArrow(run, "node long, set binary"), "sets")
+    return durable(texts.mapInArrow(trimmed(run), "node long, set binary"), "sets")
 
 
 def _set_batch(nodes: list[int], sets: list[bytes]) -> pa.RecordBatch:
@@ -256,7 +256,7 @@ def own_shingles(sets: DataFrame) -> DataFrame:
             own = [int((counts.value[places(batch, i)] == 1).sum()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["node", "own"])
 
-    return durable(sets.mapInArrow(run, "node long, own long"), "own")
+    return durable(sets.mapInArrow(trimmed(run), "node long, own long"), "own")
 
 
 def postings(classes: DataFrame, k: int, prefix: int, sketch: np.ndarray) -> DataFrame:
@@ -278,7 +278,7 @@ def postings(classes: DataFrame, k: int, prefix: int, sketch: np.ndarray) -> Dat
                 node, n = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), prefix) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(picked.ravel().view(np.int64)), pa.array(node), pa.array(n), pa.array(typical)], ["key", "node", "n_shingles", "typical"])
 
-    return classes.select("node", "n_shingles", "sig").mapInArrow(run, "key long, node long, n_shingles long, typical float")
+    return classes.select("node", "n_shingles", "sig").mapInArrow(trimmed(run), "key long, node long, n_shingles long, typical float")
 
 
 def _meet(rows: DataFrame, percent: int) -> DataFrame:
@@ -302,7 +302,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
                 same = (_matrix(batch.column(2), k) == _matrix(batch.column(3), k)).sum(axis=1) >= t
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same)), batch.column(1).filter(pa.array(same))], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -320,7 +320,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(trimmed(check), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -349,10 +349,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     nothing. Equal rows share a component; a null doc_id can't be a component_id unless
     all of its component are null. Other columns of ``docs`` are ignored.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     t = match_threshold(percent, k)
     prefix = min(k - t + SHARED, k)
-    sketches = durable(texts.mapInArrow(_sketch(shingle, k), "doc_id long, n_shingles long, node long, sig binary"), "sketches")
+    sketches = durable(texts.mapInArrow(trimmed(_sketch(shingle, k)), "doc_id long, n_shingles long, node long, sig binary"), "sketches")
     full = sketches.where("node is not null")
     classes = durable(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
     posts = durable(postings(classes, k, prefix, frequency_sketch(classes, k)), "postings")

@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidegap.llm.common import small_batches, trimmed
 from tidegap.llm.tokens import byte_groups
 
 MARK = "▁"
 GROUP_BYTES = 6 << 20
-CACHE = 800_000
+CACHE = 500_000
 PAIRS = 1_000_000
 PUNCTUATION = ",.!?;:\"')]}|"
 _NONE = -1
@@ -205,10 +206,11 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), ids
                     made.insert(0, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*keep, *(["tokens"] if ids else []), "n_tokens", "tokens_crc", "round_trip"])
 
+    small_batches(docs.sparkSession)
     kinds = _carried(docs, keep) + ("tokens array<int>, " if ids else "") + "n_tokens long, tokens_crc long, round_trip boolean"
     from pyspark.sql import functions as F
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, kinds)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(trimmed(run), kinds)
 
 
 def decode(tokens: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -221,4 +223,4 @@ def decode(tokens: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -
             texts = [None if r is None else p.decode(array("i", r).tobytes()) for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
 
-    return tokens.select(*keep, "tokens").mapInArrow(run, _carried(tokens, keep) + "text string")
+    return tokens.select(*keep, "tokens").mapInArrow(trimmed(run), _carried(tokens, keep) + "text string")

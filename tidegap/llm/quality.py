@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidegap.llm.common import small_batches, trimmed
+
 CHUNK = 4096
 LEVEL = 1
 #: (bytes up to, least ratio, largest ratio) for whole texts; the last has no end.
@@ -83,9 +85,10 @@ def quality(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)]], NAMES)
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{n} long" for n in NAMES[1:6])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {counts}, ratio double, bad_chunk_share double, base_failed boolean, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, {counts}, ratio double, bad_chunk_share double, base_failed boolean, kept boolean")
 
 
 NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "bad_chunk_share", "base_failed", "kept"]

@@ -17,7 +17,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-GROUP_BYTES = 4 << 20
+from tidegap.llm.common import small_batches, trimmed
+
+GROUP_BYTES = 2 << 20
 SEGMENT = 1 << 15
 LONG_RUN = 400
 LIMIT = 512
@@ -111,8 +113,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
                 size = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, tokens, pa.array([n > limit for n in tokens.to_pylist()], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def byte_groups(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:

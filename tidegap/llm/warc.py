@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegap.llm.common import durable, shared_dir
+from tidegap.llm.common import durable, shared_dir, small_batches, trimmed
 
 SEPARATOR = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -91,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
                 part = batch.slice(at, 256).to_pydict()
                 yield pa.RecordBatch.from_arrays([pa.array([r for row in zip(*part.values(), strict=True) for r in capture_records(*row)], pa.string())], ["value"])
 
-    text = joined.select("page_id", "url", "html", original.alias("original")).mapInArrow(run, "value string")
+    text = joined.select("page_id", "url", "html", original.alias("original")).mapInArrow(trimmed(run), "value string")
     text.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -155,7 +155,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
                 yield _batch(rows)
 
     kinds = ", ".join(f"{n} {({pa.string(): 'string', pa.int64(): 'long', pa.bool_(): 'boolean', pa.binary(): 'binary'})[t]}" for n, t in _FIELDS)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, kinds)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(trimmed(run), kinds)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -187,9 +187,11 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     an empty payload; equal rows are repeated captures; other columns are ignored; an
     empty table gives no rows.
     """
-    spark = pages.sparkSession
     import uuid
 
+    spark = pages.sparkSession
+    small_batches(spark)
+
     path = f"{shared_dir(spark)}/tidegap/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least)
     captures = durable(assemble(read_records(spark, path)).select(
