@@ -268,6 +268,24 @@ def test_minhash_brute_force(spark, size, percent):
     assert minhash.near_duplicates(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_minhash_copies_beyond_the_limit(spark):
+    r = random.Random(3)
+    base = prose(150, 1).split()
+    texts = [" ".join(base)]
+    for n in range(60):
+        copy = list(base)
+        for _ in range(n % 15):
+            copy[r.randrange(len(copy))] = r.choice(WORDS)
+        texts.append(" ".join(copy))
+        if n % 5 == 0:  # a chain away from the original
+            copy[r.randrange(len(copy))] = "own"
+            texts.append(" ".join(copy))
+    label, _ = brute_components(texts, 3, 85)
+    out = sorted(minhash.near_duplicates(docs(spark, texts), 3, 85).collect())
+    assert [x["component_id"] for x in out] == label
+    assert len(set(label)) > 10
+
+
 def test_secrets(spark):
     text = "id AKIA" + "A" * 16 + " key " + "b" * 20 + "Q" * 25 + " at https://s3.example.com/x token=abc secret: 'longvalue1' " + "0f" * 12
     rows = {r["doc_id"]: r for r in secrets.scan_secrets(docs(spark, [text, None, "", "https://a.example " + "b" * 20 + "Q" * 25, "secret=token:longvalue1"])).collect()}

@@ -10,11 +10,12 @@ on whole sets.
 
 Copies: equal sets are one node from the start. Groups of near copies are first linked
 to leaders of each large posting list, its most typical node (whose keys are the most
-frequent: the original of its copies) and its smallest one (linear work); only rows of a list that still
-lie in different components are then paired (skip merging), so a group is not expanded
-into all its pairs, and no link between components is left out. In large lists a pair is
-skipped if u shingles that no other node of such lists has rule it out: at most n - u are
-shared and the union is u larger than the other set.
+frequent: the original of its copies) and its smallest one (linear work); only rows of
+a list that still lie in different components are then paired (skip merging), so a group
+is not expanded into all its pairs, and no link between components is left out. Rows of
+large lists are paired only where they share one of the rarest shingles of both sets, as
+any two sets at the limit do: near copies that edits have carried beyond the limit have
+rare shingles of their own, so their number of pairs doesn't grow with its square.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ K = 128
 MISS = 1e-5
 SHARED = 2
 SKETCH_BITS = 20
-BLOOM_BITS, UNIQUE_BITS = 24, 22
+BLOOM_BITS, RARE_BITS = 24, 22
 LARGE = 12
 _TILE = 1 << 15
 
@@ -232,31 +233,46 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """node, own: a lower bound of the shingles that no other of these nodes has, by a
-    bounded table of counts (shingles that share a bucket count as shared)."""
-    shift = np.uint64(64 - UNIQUE_BITS)
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """node, n, place, shingle: the rarest shingles of each set, rarest first.
+
+    The order is one for all sets: by a bounded table of counts over these sets (shingles
+    of a bucket are counted together), then by hash. A set's first n - ceil(percent% of n)
+    + 1 shingles hold one of any other set at the similarity limit.
+    """
+    shift = np.uint64(64 - RARE_BITS)
+    limit = np.iinfo(np.uint16).max
 
     def places(batch, i):
-        return (np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64) >> shift).astype(np.int64)
+        s = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
+        return s, (s >> shift).astype(np.int64)
 
     def fill(total, batch):
         for i in range(batch.num_rows):
-            at, n = np.unique(places(batch, i), return_counts=True)
-            total[at] = np.minimum(total[at].astype(np.int64) + n, 2)
-
-    def join(a, b):
-        return np.minimum(a + b, 2)
+            at, n = np.unique(places(batch, i)[1], return_counts=True)
+            total[at] = np.minimum(total[at].astype(np.int64) + n, limit)
 
     sets = sets.dropDuplicates(["node"])
-    counts = sets.sparkSession.sparkContext.broadcast(_table(sets, fill, np.uint8, 1 << UNIQUE_BITS, join))
+    counts = sets.sparkSession.sparkContext.broadcast(_table(sets, fill, np.uint16, 1 << RARE_BITS, _saturating))
 
     def run(batches):
         for batch in batches:
-            own = [int((counts.value[places(batch, i)] == 1).sum()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["node", "own"])
-
-    return durable(sets.mapInArrow(trimmed(run), "node long, own long"), "own")
+            kept, lens, sizes = [], [], []
+            for i in range(batch.num_rows):
+                s, at = places(batch, i)
+                first = np.lexsort((s, counts.value[at]))[: len(s) * (100 - percent) // 100 + 1]
+                kept.append(s[first])
+                lens.append(len(first))
+                sizes.append(len(s))
+            if kept:
+                place = np.concatenate([np.arange(n) for n in lens])
+                node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lens)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node), pa.array(np.repeat(sizes, lens)), pa.array(place), pa.array(np.concatenate(kept).view(np.int64))],
+                    ["node", "n", "place", "shingle"],
+                )
+
+    return sets.mapInArrow(trimmed(run), "node long, n long, place long, shingle long")
 
 
 def postings(classes: DataFrame, k: int, prefix: int, sketch: np.ndarray) -> DataFrame:
@@ -281,14 +297,28 @@ def postings(classes: DataFrame, k: int, prefix: int, sketch: np.ndarray) -> Dat
     return classes.select("node", "n_shingles", "sig").mapInArrow(trimmed(run), "key long, node long, n_shingles long, typical float")
 
 
+def _halves(rows: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """rows twice, its columns suffixed with _a and _b."""
+    return tuple(rows.select(*[F.col(n).alias(f"{n}_{k}") for n in names]) for k in "ab")
+
+
 def _meet(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of one key but two components that sizes and own shingles allow."""
-    rows = durable(rows.select("key", "node", "n_shingles", "comp", "own"), "rows")
-    x, y = (rows.select("key", F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("comp").alias(f"c{k}"), F.col("own").alias(f"u{k}")) for k in "ab")
-    able = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-    for p, q in ("ab", "ba"):
-        able &= (F.col(f"n{p}") - F.col(f"u{p}")) * 100 >= (F.col(f"n{q}") + F.col(f"u{p}")) * percent
-    return x.join(y, (x["key"] == y["key"]) & able).select("a", "b")
+    """Pairs a < b of SHARED keys or more but two components, of sizes that allow a link."""
+    x, y = _halves(durable(rows.select("key", "node", "n_shingles", "comp"), "rows"), "key", "node", "n_shingles", "comp")
+    able = F.expr(f"key_a = key_b and node_a < node_b and comp_a != comp_b and least(n_shingles_a, n_shingles_b) * 100 >= greatest(n_shingles_a, n_shingles_b) * {percent}")
+    met = x.join(y, able).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).count()
+    return met.where(F.col("count") >= SHARED).select("a", "b")
+
+
+def _meet_rare(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of two components that share a shingle among those that two sets with
+    the overlap of a link must share: of n shingles in order of rarity and an overlap of
+    o, the first common one is among the first n - o + 1."""
+    names = "shingle", "place", "n", "node", "comp"
+    x, y = _halves(durable(rows.select(*names), "rare"), *names)
+    o = f"(({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent})"
+    able = F.expr(f"shingle_a = shingle_b and node_a < node_b and comp_a != comp_b and place_a <= n_a - {o} and place_b <= n_b - {o}")
+    return x.join(y, able).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
@@ -368,11 +398,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     keys = posts.join(lists.select("key", "n"), "key").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n"))
     open_keys = durable(keys.where("lo != hi").select("key", (F.col("n") >= LARGE).alias("large")), "open")
     rest = durable(posts.join(open_keys, "key"), "rest")
-    own = own_shingles(_sets(texts, classes, rest.where("large").select("node").distinct(), shingle))
-    meet = _meet(rest.where("not large").withColumn("own", F.lit(0).cast("long")), percent).union(
-        _meet(rest.where("large").join(own, "node", "left").fillna(0, ["own"]), percent)
-    )
-    pairs = durable(meet.groupBy("a", "b").count().where(F.col("count") >= SHARED).select("a", "b"), "met")
+    large = durable(rest.where("large").select("node", "comp").distinct(), "large")
+    rare = rare_shingles(_sets(texts, classes, large.select("node"), shingle), percent)
+    pairs = durable(_meet(rest.where("not large"), percent).union(_meet_rare(rare.join(large, "node"), percent)).distinct(), "met")
     more = _confirm(durable(_alike(pairs, classes, k, t), "pairs"), texts, classes, shingle, percent)
     comps = components(durable(linked.union(more), "links"))
 
