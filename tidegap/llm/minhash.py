@@ -70,7 +70,7 @@ class _Hashes(dict):
     """64-bit hashes of words, bounded in number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
