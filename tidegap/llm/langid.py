@@ -211,7 +211,12 @@ def train(docs: DataFrame) -> Network | None:
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(size - SAMPLE_CHARS, F.lit(1))) + 1
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (size > 0))
     rows = rows.select(F.xxhash64("doc_id").alias("h"), "lang", F.substring(F.col("text"), at.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
-    sample = rows.orderBy("h", "lang", "t").limit(SAMPLE_DOCS).collect()
+    # only hashes below a bound can be among the smallest: else each partition would send a sample
+    n, share, sample = rows.count(), 0.0, []
+    while len(sample) < SAMPLE_DOCS and share < 1:
+        share = min(1.0, max(4 * share, 2 * SAMPLE_DOCS / max(n, 1)))
+        low = rows.where(F.col("h") <= F.lit(int(share * (2**64 - 2**12)) - 2**63)) if share < 1 else rows
+        sample = low.orderBy("h", "lang", "t").limit(SAMPLE_DOCS).collect()
     data = [(r["lang"], r["t"].lower().encode("utf-8")) for r in sample]
     if not data:
         return None
