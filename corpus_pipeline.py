@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegap.llm import langid, lines, minhash, mixing, pieces
-from tidegap.llm.common import durable, shared_dir
+from tidegap.llm.common import columns, durable, fresh, shared_dir
 
 #: A document whose best language has less than this probability is rejected.
 LEAST_SCORE = 0.4
@@ -19,13 +19,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter or without a clear language; learns from the
     labels among ``docs``. The columns of ``docs`` stay as they are."""
     names = docs.columns
-    out = langid.identify(docs, langid.train(docs), tuple(names))
-    return out.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(names)
+    lang, score = (fresh(n, names) for n in ("lang_pred", "score"))
+    out = langid.identify(docs, langid.train(docs), tuple(names), (lang, score))
+    return out.where((F.col(lang) != langid.UND) & (F.col(score) >= LEAST_SCORE)).select(columns(names))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shortens texts by chunks of lines that stand elsewhere before."""
-    return lines.dedup_lines(docs).select(docs.columns)
+    return lines.dedup_lines(docs, counts=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shingles, similarity of 0.8 or more); of rows with one doc_id one stays."""
     found = minhash.near_duplicates(docs)
     gone = durable(found.where("not kept").select("doc_id").distinct(), "gone")
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    out = docs.join(gone, "doc_id", "left_anti").select(columns(docs.columns))
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return out.dropDuplicates(["doc_id"]) if repeated.head(1) else out
 
@@ -41,11 +42,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it; those it doesn't take go.
     Wordless documents belong to every mix and are kept once."""
-    plan = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("repeats").alias("_r"))
+    ident, repeats, copy = (fresh(n, docs.columns) for n in ("_id", "_repeats", "_copy"))
+    plan = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias(ident)).agg(F.max("repeats").alias(repeats))
     words = mixing.n_words(F.col("text"))
-    joined = docs.join(plan.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")))
-    times = F.when(words == 0, F.lit(1)).otherwise(F.col("_r").cast("int"))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(docs.columns)
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(ident)))
+    times = F.when(words == 0, F.lit(1)).otherwise(F.col(repeats).cast("int"))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(columns(docs.columns))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

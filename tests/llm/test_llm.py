@@ -307,3 +307,39 @@ def test_pipeline_stages(spark):
         assert d.columns == before.columns and 0.8 * before.count() <= d.count() <= 3 * before.count()
     out = corpus_pipeline.STAGES[-1][1](spark, d, "")
     assert out.count() == d.count() and out.where("not round_trip").count() == 0
+
+
+CLASHES = "score lang_pred n_chunks n_removed_chunks _marks _doc _text hash count kept node comp size repeats taken _id _repeats _copy n_words _d a.b".split()
+
+
+def clashing(spark, texts):
+    """Documents with columns that have names of results and of inner columns."""
+    return docs(spark, texts).drop("node").select("*", *[F.col("doc_id").alias(c) for c in CLASHES])
+
+
+def test_names_may_clash(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [*ODD, prose(80, 1), prose(80, 1), prose(90, 2) + "\n" + prose(90, 3)]
+    d, plain = clashing(spark, texts), docs(spark, texts)
+    apply = [
+        lambda x: mixing.mix_sources(x), lambda x: minhash.near_duplicates(x), lambda x: quality.quality(x), lambda x: secrets.scan_secrets(x),
+        lambda x: tokens.count_tokens(x, path), lambda x: pieces.encode(x, public_tokenizers.path("piece_bpe_32k.model")),
+        lambda x: lines.dedup_lines(x).select("doc_id", "text", *lines.COUNTS), lambda x: langid.identify(x, langid.Network(["a", "b"])),
+    ]
+    for f in apply:
+        assert sorted(map(repr, f(d).collect())) == sorted(map(repr, f(plain).collect()))
+
+
+def test_pipeline_stages_on_clashing_names_nulls_and_nothing(spark):
+    import corpus_pipeline
+
+    odd = docs(spark, [None, "", prose(60, 1)]).drop("node").select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", F.lit(None).cast("string").alias("source"), "n_chars")
+    d = clashing(spark, [*ODD, *(prose(70, i) for i in range(12)), prose(70, 3)])
+    d = d.union(odd.select("*", *[F.lit(None).cast("long").alias(c) for c in CLASHES]))
+    for start in (d, d.limit(0)):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES:
+            before, kept = kept.columns, durable(stage(spark, kept, ""), name)
+            assert name == "tokenize" or kept.columns == before
+        assert (kept.count() > 0) == (start is d)
+        assert kept.where("not round_trip").count() == 0

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed, return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -35,6 +37,24 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, led by underscores until none of ``taken`` is it in any case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def columns(names: Sequence[str]) -> list[Column]:
+    """Columns by their exact names, dots and back-ticks included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with column names c0, c1, ...: Arrow functions don't take names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches of texts hold ``rows`` rows at most: worker memory follows them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegap.llm.common import small_batches, trimmed
+from tidegap.llm.common import columns, fresh, plain, small_batches, trimmed
 
 #: Bound of the training sample: documents, and characters of a passage of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2400, 400
@@ -229,8 +230,9 @@ def train(docs: DataFrame) -> Network | None:
     return _trained[key]
 
 
-def identify(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score for every row.
+def identify(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("doc_id",), results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` with lang_pred and score for every row; ``results`` are their
+    names, which must differ from those of ``keep``.
 
     ``und`` with score 0 if the text is null, has no letter, or nothing was learned.
     Only the text decides; other columns are carried or ignored. Equal texts get equal
@@ -245,18 +247,18 @@ def identify(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = (
             start = room = 0
             for i in range(batch.num_rows + 1):
                 if i == batch.num_rows or room > _GROUP_BYTES:
-                    yield _answer(net, batch.slice(start, i - start))
+                    yield _answer(net, batch.slice(start, i - start), [*names, *results])
                     start, room = i, 0
                 if i < batch.num_rows and column[i].is_valid:
                     room += column[i].as_buffer().size
 
     small_batches(docs.sparkSession)
     names = list(dict.fromkeys(keep))
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(trimmed(run), f"{kinds}, lang_pred string, score double")
+    schema = T.StructType([docs.schema[n] for n in names]).add(results[0], "string").add(results[1], "double")
+    return plain(docs.select(*columns(names), F.col("text").alias(fresh("_text", names)))).mapInArrow(trimmed(run), schema)
 
 
-def _answer(net: Network | None, part: pa.RecordBatch) -> pa.RecordBatch:
+def _answer(net: Network | None, part: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
     texts = [(t or "").lower() for t in part.column(part.num_columns - 1).to_pylist()]
     lang, score = [UND] * len(texts), [0.0] * len(texts)
     rows = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if net else []
@@ -264,5 +266,4 @@ def _answer(net: Network | None, part: pa.RecordBatch) -> pa.RecordBatch:
         best, pooled = net.label([texts[i].encode("utf-8") for i in rows])
         for i, b, p in zip(rows, best, pooled, strict=True):
             lang[i], score[i] = net.langs[b], float(min(p[b], 1.0))
-    names = part.schema.names[:-1]
-    return pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang), pa.array(score)], [*names, "lang_pred", "score"])
+    return pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)

@@ -15,8 +15,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegap.llm.common import durable, small_batches, trimmed
+from tidegap.llm.common import columns, durable, fresh, plain, small_batches, trimmed
 
 #: Mean lines of a chunk is about CUT; a chunk has MAX_LINES at most.
 CUT, MAX_LINES = 3, 64
@@ -89,9 +90,9 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _columns(["hash", "chunk"], [h for h, _ in found], [c for _, c in found])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     """The columns of ``docs`` with the shortened text, and n_chunks, n_removed_chunks,
-    n_removed_lines.
+    n_removed_lines if ``counts`` (which then replace columns of these names).
 
     Every row stays, if only with an empty text; n_chars, where present, is the new
     length. A null text stays null. Rows with a null doc_id are left as they are; rows
@@ -99,29 +100,34 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Two chunks with one hash but different bytes are both kept.
     """
     small_batches(docs.sparkSession)
+    if counts:
+        docs = docs.select(*columns([n for n in docs.columns if n.lower() not in COUNTS]))
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     posts = durable(rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_post), "hash long, doc_id long, place int"), "chunks")
     first = F.min(F.struct("doc_id", "place"))
     repeated = durable(posts.groupBy("hash").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").drop("n"), "repeated")
     joined = _with_marks(docs, posts, repeated)
-    seen = joined.where("_marks is not null").select("text", "_marks").mapInArrow(trimmed(_marked), "hash long, chunk string")
+    marks = F.col(joined.columns[-1])
+    seen = joined.where(marks.isNotNull()).select("text", marks).mapInArrow(trimmed(_marked), "hash long, chunk string")
     clash = durable(seen.distinct().groupBy("hash").count().where("count > 1").select("hash"), "clash")
     if clash.head(1):
         joined = _with_marks(docs, posts, repeated.join(clash, "hash", "left_anti"))
-    return _rewrite(docs, joined)
+    return _rewrite(docs, joined, counts)
 
 
 def _with_marks(docs: DataFrame, posts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Documents with an array of their repeated chunks: hash, place, first."""
+    """Documents with an array of their repeated chunks, as last column: hash, place, first."""
+    doc, name = fresh("_doc", docs.columns), fresh("_marks", docs.columns)
     is_first = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.place") == F.col("place"))
     marks = posts.join(repeated, "hash").select("doc_id", F.struct("hash", "place", is_first.alias("first")).alias("m"))
-    marks = marks.groupBy("doc_id").agg(F.collect_set("m").alias("_marks")).withColumnRenamed("doc_id", "_doc")
-    return durable(docs.join(marks, F.col("doc_id") == F.col("_doc"), "left").drop("_doc"), "marked")
+    marks = marks.groupBy("doc_id").agg(F.collect_set("m").alias(name)).withColumnRenamed("doc_id", doc)
+    return durable(docs.join(marks, F.col("doc_id") == F.col(doc), "left").drop(doc), "marked")
 
 
-def _rewrite(docs: DataFrame, joined: DataFrame) -> DataFrame:
+def _rewrite(docs: DataFrame, joined: DataFrame, with_counts: bool) -> DataFrame:
     names = docs.columns
     at = names.index("text")
+    extra = COUNTS if with_counts else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,12 +143,12 @@ def _rewrite(docs: DataFrame, joined: DataFrame) -> DataFrame:
                         value = "\n".join(c for i, (c, _) in enumerate(parts) if i not in drop)
                 texts.append(value)
                 counts.append((n, len(drop), lines))
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3))], [*names, *COUNTS])
+            own = list(batch.columns[: len(names)])
+            own[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(extra)))], [*names, *extra])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = joined.select(*[F.col(f"`{n}`") for n in names], "_marks").mapInArrow(trimmed(run), kinds + "".join(f", {c} long" for c in COUNTS))
+    schema = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in extra)])
+    out = plain(joined).mapInArrow(trimmed(run), schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
