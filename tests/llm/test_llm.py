@@ -203,6 +203,27 @@ def test_chunks_resist_shifts():
     assert len(a & b) >= len(a) - 2
 
 
+def wordy(r, n):
+    return " ".join("".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 7))) for _ in range(n))
+
+
+def test_lines_remove_whole_passages(spark):
+    r = random.Random(6)
+    texts, passages = [], []
+    for n in (2, 4, 6, 7, 10, 4, 7, 10):
+        passage = [wordy(r, 60 // n + 1) for _ in range(n)]
+        if n == 10:  # single short lines between and beside long ones
+            passage[0], passage[4] = wordy(r, 40), wordy(r, 40)
+        for k in (0, 2, 5):
+            around = [wordy(r, 8) for _ in range(5)]
+            texts.append("\n".join([*around[:k], *passage, *around[k:]]))
+            passages.append(("\n".join(passage), "\n".join(around)))
+    out = sorted(lines.dedup_lines(docs(spark, texts)).collect(), key=lambda x: x["doc_id"])
+    for i, (x, (passage, around)) in enumerate(zip(out, passages)):
+        assert x["text"] == (texts[i] if i % 3 == 0 else around)
+        assert x["n_removed_lines"] == (0 if i % 3 == 0 else passage.count("\n") + 1)
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "WARC/1.0\r\n\r\n" * 3, "é" * 1000, "<p>a</p>", "\r\n\r\nx\r\n"]
     t = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)] + [(7, "http://h/7", html[7])], "page_id long, url string, html string")
