@@ -255,6 +255,35 @@ def test_quality_counts(spark):
     assert quality.quality(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def noise(r, n, alphabet):
+    out = ""
+    while len(out) < n:
+        out += "".join(r.choice(alphabet) for _ in range(r.randint(2, 9))) + " "
+    return out[:n]
+
+
+def test_quality_rejects_noise(spark):
+    r = random.Random(8)
+    letters = [chr(c) for c in range(97, 123)]
+    base64_ = [*letters, *(x.upper() for x in letters), *"0123456789+/"]
+    printable = [chr(c) for c in range(33, 127)]
+    texts = [noise(r, n, a) for n in (512, 700, 1024, 2000, 4000, 4096, 9000, 60_000) for a in (base64_, printable)]
+    texts += [noise(r, n, letters) for n in (4097, 9000, 60_000)]
+    rows = quality.quality(docs(spark, texts)).collect()
+    assert not any(x["base_failed"] or x["kept"] for x in rows)
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL, write_checksum=False, write_content_size=False).compress
+    text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars > 9000").orderBy("doc_id").head()["text"].encode()
+    assert quality.in_bands(text, compress)[1:] == (0.0, True)
+    mixed = text[:4096] + noise(r, 3000, printable).encode()
+    assert quality.in_bands(mixed, compress)[1] == 3000 / 7096
+    mixed = text[:8192] + noise(r, 8192, printable).encode() + noise(r, 1000, printable).encode()
+    assert not quality.in_bands(mixed, compress)[2]
+    clean = quality.quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("not base_failed")
+    assert clean.where("ratio > 0.2 and not kept").count() == 0
+
+
 def brute_components(texts, size, percent):
     sets = []
     for t in texts:
