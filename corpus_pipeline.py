@@ -30,13 +30,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates (five-word
-    shingles, similarity of 0.8 or more); of rows with one doc_id one stays."""
-    found = minhash.near_duplicates(docs)
-    gone = durable(found.where("not kept").select("doc_id").distinct(), "gone")
-    out = docs.join(gone, "doc_id", "left_anti").select(columns(docs.columns))
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return out.dropDuplicates(["doc_id"]) if repeated.head(1) else out
+    """Keeps one row of each group of near duplicates (five-word shingles, similarity of
+    0.8 or more), that with the smallest id, null ids last. Each row is judged by its own
+    text: rows that share a doc_id, or have none, and have unlike texts all stay."""
+    key = fresh("_key", docs.columns)
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0")
+    found = durable(found.groupBy(F.col("doc_id").alias("key"), "component_id").count(), "found")
+    ids = rows.select(F.col(key).alias("key"), F.col("doc_id").isNull().alias("none"), "doc_id").distinct()
+    stays = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "key")).alias("least"))
+    judged = durable(found.join(stays, "component_id").select(F.col("key").alias(key), "count", (F.col("key") == F.col("least.key")).alias("stays")), "judged")
+    out = rows.join(judged.where("not stays").select(key), key, "left_anti")
+    twice = judged.where("stays and count > 1").select(key)
+    if twice.head(1):  # rows alike in doc_id and text
+        out = out.join(twice, key, "left_anti").unionByName(out.join(twice, key, "left_semi").dropDuplicates([key]))
+    return out.select(columns(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

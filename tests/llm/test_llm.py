@@ -359,6 +359,16 @@ def test_pipeline_stages(spark):
     assert out.count() == d.count() and out.where("not round_trip").count() == 0
 
 
+def test_near_dedup_judges_rows_by_their_texts(spark):
+    import corpus_pipeline
+
+    a, b, c, e, f, g = (prose(60, i) for i in range(20, 26))
+    rows = [(None, a), (None, b), (None, ""), (None, None), (1, c), (1, e), (2, f), (2, f), (3, e), (3, g), (None, g + " end"), (4, ""), (4, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], KIND)
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, d, "").collect()]
+    assert sorted(map(repr, out)) == sorted(map(repr, [*rows[:7], rows[9], *rows[11:]]))
+
+
 CLASHES = "score lang_pred n_chunks n_removed_chunks _marks _doc _text hash count kept node comp size repeats taken _id _repeats _copy n_words _d a.b".split()
 
 
