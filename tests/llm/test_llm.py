@@ -224,6 +224,17 @@ def test_lines_remove_whole_passages(spark):
         assert x["n_removed_lines"] == (0 if i % 3 == 0 else passage.count("\n") + 1)
 
 
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    long = [prose(40, i) for i in range(6)]
+    rows = [(1, "\n".join(long[:4])), (1, long[4]), (1, None), (1, "\n".join([long[5], long[3]])), (2, "\n".join([long[4], "own", long[0]])), (2, "\n".join([long[5], "else"])), (2, "own")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], KIND)
+    out = [r["text"] for r in lines.dedup_lines(d).where("doc_id = 2").collect()]
+    assert sorted(out) == ["else", "own", "own"]
+    first = [r["text"] for r in lines.dedup_lines(d).where("doc_id = 1").collect()]
+    kept = [x for t in first if t for x in t.split("\n")]
+    assert None in first and sorted(kept) == sorted(long)
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "WARC/1.0\r\n\r\n" * 3, "é" * 1000, "<p>a</p>", "\r\n\r\nx\r\n"]
     t = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)] + [(7, "http://h/7", html[7])], "page_id long, url string, html string")

@@ -125,12 +125,12 @@ def dropped(text: str, marks: list[dict] | None) -> tuple[list[tuple[int, int]],
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """hash, doc_id, place of the parts of documents."""
-    names = ["hash", "doc_id", "place"]
+    """hash, doc_id, version, place of the parts of documents."""
+    names = ["hash", "doc_id", "version", "place"]
     for batch in batches:
         rows = []
-        for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows.extend((_hash(part, place), doc_id, place) for place, part in _parts(value.as_py() or "").items())
+        for doc_id, version, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            rows.extend((_hash(part, place), doc_id, version, place) for place, part in _parts(value.as_py() or "").items())
             if len(rows) > 50_000:
                 yield _columns(names, *zip(*rows))
                 rows = []
@@ -158,15 +158,17 @@ def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
 
     Every row stays, if only with an empty text; n_chars, where present, is the new
     length. A null text stays null. Rows with a null doc_id are left as they are. Rows
-    that share a doc_id count as one document, so they keep what one of them keeps. Two chunks with one hash but different bytes are both kept.
+    that share a doc_id and a text count as one document, so they keep what one of them
+    keeps; with different texts they are different documents (versions, in the order of
+    the texts' hashes). Two chunks with one hash but different bytes are both kept.
     n_removed_chunks counts the chunks that lost all their lines.
     """
     small_batches(docs.sparkSession)
     if counts:
         docs = docs.select(*columns([n for n in docs.columns if n.lower() not in COUNTS]))
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    posts = durable(plain(rows).mapInArrow(trimmed(_post), "hash long, doc_id long, place int"), "chunks")
-    first = F.min(F.struct("doc_id", "place"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text")
+    posts = durable(plain(rows).mapInArrow(trimmed(_post), "hash long, doc_id long, version long, place int"), "chunks")
+    first = F.min(F.struct("doc_id", "version", "place"))
     repeated = durable(posts.groupBy("hash").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").drop("n"), "repeated")
     joined = _with_marks(docs, posts, repeated)
     marks = F.col(joined.columns[-1])
@@ -180,12 +182,13 @@ def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
 def _with_marks(docs: DataFrame, posts: DataFrame, repeated: DataFrame) -> DataFrame:
     """Documents with an array of their repeated parts, as last column: hash, place,
     whether it's the first place, and the row of the first place (origin)."""
-    doc, name = (fresh(n, docs.columns) for n in ("_doc", "_marks"))
-    is_first = F.col("first") == F.struct("doc_id", "place")
-    origin = F.xxhash64("first.doc_id")
-    marks = posts.join(repeated, "hash").select("doc_id", F.struct("hash", "place", is_first.alias("first"), origin.alias("origin")).alias("m"))
-    marks = marks.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("m").alias(name))
-    return durable(docs.join(marks, F.col("doc_id") == F.col(doc), "left").drop(doc), "marked")
+    doc, version, name = (fresh(n, docs.columns) for n in ("_doc", "_version", "_marks"))
+    is_first = F.col("first") == F.struct("doc_id", "version", "place")
+    origin = F.xxhash64("first.doc_id", "first.version")
+    marks = posts.join(repeated, "hash").select("doc_id", "version", F.struct("hash", "place", is_first.alias("first"), origin.alias("origin")).alias("m"))
+    marks = marks.groupBy(F.col("doc_id").alias(doc), F.col("version").alias(version)).agg(F.collect_set("m").alias(name))
+    same = (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(version))
+    return durable(docs.join(marks, same, "left").drop(doc, version), "marked")
 
 
 def _rewrite(docs: DataFrame, joined: DataFrame, with_counts: bool) -> DataFrame:
