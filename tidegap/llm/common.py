@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed, return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is
-    unset (local runs) a temporary folder that is then set."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where driver and
+    executors are one process may it be unset: a temporary folder is then set, which goes
+    with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidegap-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
@@ -28,12 +39,24 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     read it again, and joins on it get exchanges that adaptive execution may split."""
     path = f"{shared_dir(df.sparkSession)}/tidegap/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote and that no result reads."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_at)
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete the tables that ``durable`` wrote; results that read them must be saved before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidegap")
+    """Delete all that operators left in the shared folder; results that read it must be saved before."""
+    _delete(spark, f"{shared_dir(spark)}/tidegap")
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -55,11 +78,14 @@ def plain(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches of texts hold ``rows`` rows at most: worker memory follows them."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Let Arrow batches hold ``rows`` rows and about ``size`` bytes at most, as the memory
+    of workers follows them. Smaller settings of the session stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"[^\d-]", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, most)
 
 
 def trim() -> None:
@@ -77,11 +103,13 @@ def trim() -> None:
         pass
 
 
-def trimmed(run):
-    """``run`` (for mapInArrow) with ``trim`` at its end."""
+def trimmed(run, after: Callable[[], None] | None = None):
+    """``run`` (for mapInArrow) with ``after`` and ``trim`` at its end."""
 
     def wrapped(batches):
         yield from run(batches)
+        if after:
+            after()
         trim()
 
     return wrapped
@@ -92,5 +120,20 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def byte_groups(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string column that hold about ``limit`` bytes, one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = room = 0
+    for i, n in enumerate(sizes):
+        if room and room + n > limit:
+            yield start, i
+            start, room = i, 0
+        room += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

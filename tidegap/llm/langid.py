@@ -14,14 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegap.llm.common import columns, fresh, plain, small_batches, trimmed
+from tidegap.llm.common import byte_groups, columns, plain, small_batches, trimmed
 
-#: Bound of the training sample: documents, and characters of a passage of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 2400, 400
+#: Bounds of the training sample: documents, shared evenly by languages; languages (the most
+#: frequent ones); characters of a passage of each document (None: whole texts).
+SAMPLE_DOCS, MAX_LANGS, SAMPLE_CHARS = 2400, 200, 400
 HIDDEN, STEPS, BATCH, SPAN, RATE = 8, 220, 192, 48, 0.03
 CORE, CONTEXT, ROWS = 240, 16, 1024
 UND = "und"
@@ -202,31 +203,33 @@ def held_out(doc_id: Column) -> Column:
 _trained: dict[str, Network] = {}
 
 
-def train(docs: DataFrame) -> Network | None:
+def train(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int | None = SAMPLE_CHARS) -> Network | None:
     """Train on a bounded sample of labelled documents that are not held out.
 
-    The SAMPLE_DOCS documents with the smallest hash of their id, a passage of
-    SAMPLE_CHARS characters at a hashed offset of each. None without labelled rows.
+    Each of at most MAX_LANGS languages gives an equal share of ``sample`` documents, one at
+    least: those with the smallest hashes of their ids, a passage of ``chars`` characters at a
+    hashed offset of each. None without labelled rows.
     """
     size = F.char_length("text")
-    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(size - SAMPLE_CHARS, F.lit(1))) + 1
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (size > 0))
-    rows = rows.select(F.xxhash64("doc_id").alias("h"), "lang", F.substring(F.col("text"), at.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
-    # only hashes below a bound can be among the smallest: else each partition would send a sample
-    n, share, sample = rows.count(), 0.0, []
-    while len(sample) < SAMPLE_DOCS and share < 1:
-        share = min(1.0, max(4 * share, 2 * SAMPLE_DOCS / max(n, 1)))
-        low = rows.where(F.col("h") <= F.lit(int(share * (2**64 - 2**12)) - 2**63)) if share < 1 else rows
-        sample = low.orderBy("h", "lang", "t").limit(SAMPLE_DOCS).collect()
-    data = [(r["lang"], r["t"].lower().encode("utf-8")) for r in sample]
-    if not data:
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    if not counts:
         return None
+    share = max(1, sample // len(counts))
+    # only hashes below a language's bound can be among its smallest: few rows are ranked
+    bounds = {lang: int(min(1.0, 2 * (share + 50) / n) * (2**64 - 2**12)) - 2**63 for lang, n in counts.items()}
+    bound = F.element_at(F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv]), F.col("lang"))
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(size - (chars or 0), F.lit(1))) + 1
+    passage = F.substring(F.col("text"), at.cast("int"), F.lit(chars)) if chars else F.col("text")
+    low = rows.where(F.col("lang").isin(list(counts))).select(F.xxhash64("doc_id").alias("h"), "lang", passage.alias("t"), bound.alias("b")).where("h <= b")
+    first = Window.partitionBy("lang").orderBy("h", "t")
+    data = sorted((r["lang"], r["h"], r["t"]) for r in low.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= share).select("lang", "h", "t").collect())
     key = hashlib.sha256(repr(data).encode()).hexdigest()
     if key not in _trained:
-        langs = sorted({a for a, _ in data})
-        codes = [np.frombuffer(b, np.uint8).astype(np.int64) for _, b in data]
+        langs = sorted({a for a, _, _ in data})
+        codes = [np.frombuffer(t.lower().encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64) for _, _, t in data]
         _trained.clear()
-        _trained[key] = Network(langs).fit(codes, np.array([langs.index(a) for a, _ in data]))
+        _trained[key] = Network(langs).fit(codes, np.array([langs.index(a) for a, _, _ in data]))
     return _trained[key]
 
 
@@ -236,34 +239,32 @@ def identify(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = (
 
     ``und`` with score 0 if the text is null, has no letter, or nothing was learned.
     Only the text decides; other columns are carried or ignored. Equal texts get equal
-    results; an empty table gives no rows.
+    results; an empty table gives no rows. A very long text is labelled in windows, in some
+    30 bytes of memory a byte of text.
     """
     langs, weights = (network.langs, network.weights) if network else ([], {})
+    names = list(dict.fromkeys(keep))
+    carried = names if "text" in names else [*names, "text"]
+    at = carried.index("text")  # the text goes to a worker once, even if it is kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(langs, weights=weights) if langs else None
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            start = room = 0
-            for i in range(batch.num_rows + 1):
-                if i == batch.num_rows or room > _GROUP_BYTES:
-                    yield _answer(net, batch.slice(start, i - start), [*names, *results])
-                    start, room = i, 0
-                if i < batch.num_rows and column[i].is_valid:
-                    room += column[i].as_buffer().size
+            for lo, hi in byte_groups(batch.column(at), _GROUP_BYTES):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *_answer(net, part.column(at))], [*names, *results])
 
     small_batches(docs.sparkSession)
-    names = list(dict.fromkeys(keep))
     schema = T.StructType([docs.schema[n] for n in names]).add(results[0], "string").add(results[1], "double")
-    return plain(docs.select(*columns(names), F.col("text").alias(fresh("_text", names)))).mapInArrow(trimmed(run), schema)
+    return plain(docs.select(*columns(carried))).mapInArrow(trimmed(run), schema)
 
 
-def _answer(net: Network | None, part: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
-    texts = [(t or "").lower() for t in part.column(part.num_columns - 1).to_pylist()]
+def _answer(net: Network | None, column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    texts = [(t or "").lower() for t in column.to_pylist()]
     lang, score = [UND] * len(texts), [0.0] * len(texts)
     rows = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if net else []
     if rows:
-        best, pooled = net.label([texts[i].encode("utf-8") for i in rows])
+        best, pooled = net.label([texts[i].encode("utf-8", "surrogatepass") for i in rows])
         for i, b, p in zip(rows, best, pooled, strict=True):
             lang[i], score[i] = net.langs[b], float(min(p[b], 1.0))
-    return pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
+    return pa.array(lang, pa.string()), pa.array(score, pa.float64())

@@ -30,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegap.llm.common import durable, small_batches, trimmed, words
+from tidegap.llm.common import discard, durable, small_batches, trimmed, words
 
 K = 128
 MISS = 1e-5
 SHARED = 2
-SKETCH_BITS = 20
-BLOOM_BITS, RARE_BITS = 24, 22
+#: Least and most bits of the index of the sketches of keys and of shingles, most of a Bloom
+#: filter's: they grow with what they count up to 64 MB, 32 MB and 8 MB.
+SKETCH_BITS, RARE_BITS, BLOOM_BITS = (16, 24), (16, 24), 26
 LARGE = 12
 _TILE = 1 << 15
 
@@ -144,42 +145,59 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
 
 def _table(df: DataFrame, fill, dtype, size: int, join) -> np.ndarray:
     """A bounded array over all rows of df: ``fill`` adds a batch to a partition's array,
-    arrays are joined slice by slice, and only the result comes to the driver."""
+    arrays are joined slice by slice, and only the result comes to the driver. Of a slice
+    with few entries only these are sent, so small partitions send little."""
     slices = 64
     width = size // slices
 
     def partial(batches):
         total = np.zeros(size, dtype)
-        used = False
         for batch in batches:
             if batch.num_rows:
-                used = True
                 fill(total, batch)
-        if used:
-            parts = [total[i * width : (i + 1) * width].tobytes() for i in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
+        for i in range(slices):
+            part = total[i * width : (i + 1) * width]
+            at = np.flatnonzero(part).astype(np.uint32)
+            if len(at):
+                few = at.nbytes + len(at) * part.itemsize < part.nbytes
+                yield _slices([i], [at.tobytes() if few else None], [(part[at] if few else part).tobytes()])
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(b.as_buffer(), dtype)
-                sums[i] = join(sums[i], part) if i in sums else part.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "part"])
-
-    kind = "slice int, part binary"
+            for i, at, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                total, part = sums.setdefault(i, np.zeros(width, dtype)), np.frombuffer(b.as_buffer(), dtype)
+                if at.is_valid:
+                    at = np.frombuffer(at.as_buffer(), np.uint32)
+                    total[at] = join(total[at], part)
+                else:
+                    total[:] = join(total, part)
+        for i, v in sums.items():
+            yield _slices([i], [None], [v.tobytes()])
+
+    kind = "slice int, at binary, part binary"
     table = np.zeros(size, dtype)
     for r in df.mapInArrow(trimmed(partial), kind).repartition(16, "slice").mapInArrow(trimmed(merge), kind).collect():
         table[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["part"], dtype)
     return table
 
 
+def _slices(i: list[int], at: list[bytes | None], part: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(at, pa.binary()), pa.array(part, pa.binary())], ["slice", "at", "part"])
+
+
+def _bits(entries: int, least: int, most: int) -> int:
+    """Bits of a table's index for so many entries."""
+    return min(max(int(entries).bit_length(), least), most)
+
+
 def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a.astype(np.int64) + b, np.iinfo(a.dtype).max).astype(a.dtype)
 
 
-def frequency_sketch(classes: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counts of all keys in 2**bits buckets: a bounded array, whatever the input."""
+def frequency_sketch(classes: DataFrame, k: int) -> np.ndarray:
+    """Counts of all keys in buckets: an array that grows with the input up to a bound."""
+    bits = _bits(classes.count() * k // 32, *SKETCH_BITS)
 
     def fill(total, batch):
         at = (_keys(_matrix(batch.column(0), k)) >> np.uint64(64 - bits)).ravel().astype(np.int64)
@@ -188,40 +206,58 @@ def frequency_sketch(classes: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.
     return _table(classes.select("sig"), fill, np.int32, 1 << bits, _saturating)
 
 
-def _bloom_bits(ids: np.ndarray) -> np.ndarray:
+def _bloom_bits(ids: np.ndarray, bits: int) -> np.ndarray:
     h = mix(ids.astype(np.int64).view(np.uint64))
-    return np.stack([h >> np.uint64(64 - BLOOM_BITS), mix(h + np.uint64(1)) >> np.uint64(64 - BLOOM_BITS)]).astype(np.int64)
+    return np.stack([h >> np.uint64(64 - bits), mix(h + np.uint64(1)) >> np.uint64(64 - bits)]).astype(np.int64)
 
 
 def _sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, set of the given nodes (and a few more). Texts are not shuffled: a Bloom
-    filter of bounded size over the nodes' smallest doc_ids picks the rows to shingle."""
-    needed = classes.join(nodes, "node", "left_semi").where("rep is not null").select("rep")
-
-    def fill(total, batch):
-        bits = _bloom_bits(batch.column(0).to_numpy(zero_copy_only=False)).ravel()
-        np.bitwise_or.at(total, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
-
-    bloom = texts.sparkSession.sparkContext.broadcast(_table(needed, fill, np.uint8, 1 << (BLOOM_BITS - 3), np.bitwise_or))
+    """node, set of the given nodes (distinct). Only rows with a node's smallest doc_id are
+    shingled: a Bloom filter of their ids picks them, so that texts aren't shuffled, unless
+    the ids are too many for it; then a join does. Rows without an id are always looked at."""
+    wanted = durable(classes.join(nodes, "node", "left_semi").select("node", "rep"), "wanted")
+    needed = wanted.where("rep is not null").select("rep")
+    n = needed.count()
+    bits = _bits(16 * n, 16, BLOOM_BITS)
+    bloom = None
+    if 8 * n <= 1 << BLOOM_BITS:
+
+        def fill(total, batch):
+            at = _bloom_bits(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()
+            np.bitwise_or.at(total, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+        bloom = texts.sparkSession.sparkContext.broadcast(_table(needed, fill, np.uint8, 1 << (bits - 3), np.bitwise_or))
+    else:
+        near = needed.distinct().withColumnRenamed("rep", "doc_id")
+        texts = texts.join(near, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
 
     def run(batches):
-        hashes, table = _Hashes(), bloom.value
+        hashes = _Hashes()
         for batch in batches:
-            ids = batch.column(0)
-            bits = _bloom_bits(ids.fill_null(0).to_numpy(zero_copy_only=False))
-            may = ((table[bits >> 3] >> (bits & 7)) & 1).all(axis=0) | ids.is_null().to_numpy(zero_copy_only=False)
-            nodes, sets = [], []
-            for i in np.flatnonzero(may).tolist():
+            rows = range(batch.num_rows)
+            if bloom is not None:
+                ids = batch.column(0)
+                at = _bloom_bits(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
+                may = ((bloom.value[at >> 3] >> (at & 7)) & 1).all(axis=0) | ids.is_null().to_numpy(zero_copy_only=False)
+                rows = np.flatnonzero(may).tolist()
+            nodes, sets, room = [], [], 0
+            for i in rows:
                 s = shingle_set(batch.column(1)[i].as_py(), size, hashes)
                 if len(s):
                     nodes.append(_node(s))
                     sets.append(s.tobytes())
-                if len(nodes) == 512:
+                    room += len(s)
+                if room > _TILE:
                     yield _set_batch(nodes, sets)
-                    nodes, sets = [], []
+                    nodes, sets, room = [], [], 0
             yield _set_batch(nodes, sets)
 
-    return durable(texts.mapInArrow(trimmed(run), "node long, set binary"), "sets")
+    made = texts.mapInArrow(trimmed(run), "node long, set binary")
+    out = durable(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    discard(wanted)
+    if bloom is not None:
+        bloom.destroy()
+    return out
 
 
 def _set_batch(nodes: list[int], sets: list[bytes]) -> pa.RecordBatch:
@@ -240,7 +276,9 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     of a bucket are counted together), then by hash. A set's first n - ceil(percent% of n)
     + 1 shingles hold one of any other set at the similarity limit.
     """
-    shift = np.uint64(64 - RARE_BITS)
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("set")), F.lit(0))).head()[0] // 8
+    bits = _bits(2 * total, *RARE_BITS)
+    shift = np.uint64(64 - bits)
     limit = np.iinfo(np.uint16).max
 
     def places(batch, i):
@@ -252,8 +290,7 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
             at, n = np.unique(places(batch, i)[1], return_counts=True)
             total[at] = np.minimum(total[at].astype(np.int64) + n, limit)
 
-    sets = sets.dropDuplicates(["node"])
-    counts = sets.sparkSession.sparkContext.broadcast(_table(sets, fill, np.uint16, 1 << RARE_BITS, _saturating))
+    counts = sets.sparkSession.sparkContext.broadcast(_table(sets, fill, np.uint16, 1 << bits, _saturating))
 
     def run(batches):
         for batch in batches:
@@ -272,13 +309,15 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
                     ["node", "n", "place", "shingle"],
                 )
 
-    return sets.mapInArrow(trimmed(run), "node long, n long, place long, shingle long")
+    out = durable(sets.mapInArrow(trimmed(run), "node long, n long, place long, shingle long"), "rare")
+    counts.destroy()
+    return out
 
 
 def postings(classes: DataFrame, k: int, prefix: int, sketch: np.ndarray) -> DataFrame:
     """key, node, n_shingles, typical: each node under its ``prefix`` rarest keys;
     ``typical`` sums the logarithms of the frequencies of all its keys."""
-    shared = classes.sparkSession.sparkContext.broadcast(sketch)  # 4 MB at 2**20 buckets
+    shared = classes.sparkSession.sparkContext.broadcast(sketch)  # 4 bytes a bucket
     shift = np.uint64(64 - int(np.log2(len(sketch))))
 
     def run(batches):
@@ -294,7 +333,9 @@ def postings(classes: DataFrame, k: int, prefix: int, sketch: np.ndarray) -> Dat
                 node, n = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), prefix) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(picked.ravel().view(np.int64)), pa.array(node), pa.array(n), pa.array(typical)], ["key", "node", "n_shingles", "typical"])
 
-    return classes.select("node", "n_shingles", "sig").mapInArrow(trimmed(run), "key long, node long, n_shingles long, typical float")
+    out = durable(classes.select("node", "n_shingles", "sig").mapInArrow(trimmed(run), "key long, node long, n_shingles long, typical float"), "postings")
+    shared.destroy()
+    return out
 
 
 def _halves(rows: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
@@ -350,7 +391,9 @@ def _confirm(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(trimmed(check), "a long, b long")
+    out = durable(both.select("a", "b", "x", "y").mapInArrow(trimmed(check), "a long, b long"), "links")
+    discard(sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -366,9 +409,13 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         new = durable(lower.join(jump, "comp").select("node", F.least("comp", "next").alias("comp"), "old"), "labels")
+        discard(labels)
+        labels = new
         if not new.where("comp != old").head(1):
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+            discard(both)
+            out = new.drop("old")
+            out.written_at = new.written_at
+            return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -377,7 +424,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     Links: 100 * |intersection| >= percent * |union| of shingle sets. component_id is the
     smallest doc_id reachable. Null and wordless texts are empty sets, linked with
     nothing. Equal rows share a component; a null doc_id can't be a component_id unless
-    all of its component are null. Other columns of ``docs`` are ignored.
+    all of its component are null. Other columns of ``docs`` are ignored; an empty table
+    gives no rows. A very long text takes some 60 bytes of memory a word.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -386,28 +434,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     sketches = durable(texts.mapInArrow(trimmed(_sketch(shingle, k)), "doc_id long, n_shingles long, node long, sig binary"), "sketches")
     full = sketches.where("node is not null")
     classes = durable(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
-    posts = durable(postings(classes, k, prefix, frequency_sketch(classes, k)), "postings")
+    posts = postings(classes, k, prefix, frequency_sketch(classes, k))
     lists = durable(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max_by("node", F.struct("typical", "node")).alias("hi")).where("n > 1"), "lists")
 
     large = lists.where(F.col("n") >= LARGE).select("key", F.array("lo", "hi").alias("leaders"))
     star = posts.join(large, "key").select(F.col("node").alias("a"), F.explode("leaders").alias("b")).where("a != b").distinct()
-    linked = durable(_confirm(durable(_alike(star, classes, k, t), "pairs"), texts, classes, shingle, percent), "links")
+    alike = durable(_alike(star, classes, k, t), "pairs")
+    linked = _confirm(alike, texts, classes, shingle, percent)
     first = components(linked)
+    discard(alike)
 
-    posts = posts.drop("typical").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    keys = posts.join(lists.select("key", "n"), "key").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n"))
+    met = posts.drop("typical").join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    keys = met.join(lists.select("key", "n"), "key").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n"))
     open_keys = durable(keys.where("lo != hi").select("key", (F.col("n") >= LARGE).alias("large")), "open")
-    rest = durable(posts.join(open_keys, "key"), "rest")
+    rest = durable(met.join(open_keys, "key"), "rest")
+    discard(posts, lists, first, open_keys)
     large = durable(rest.where("large").select("node", "comp").distinct(), "large")
-    rare = rare_shingles(_sets(texts, classes, large.select("node"), shingle), percent)
+    sets = _sets(texts, classes, large.select("node"), shingle)
+    rare = rare_shingles(sets, percent)
     pairs = durable(_meet(rest.where("not large"), percent).union(_meet_rare(rare.join(large, "node"), percent)).distinct(), "met")
-    more = _confirm(durable(_alike(pairs, classes, k, t), "pairs"), texts, classes, shingle, percent)
-    comps = components(durable(linked.union(more), "links"))
+    discard(sets, rare, rest, large)
+    alike = durable(_alike(pairs, classes, k, t), "pairs")
+    more = _confirm(alike, texts, classes, shingle, percent)
+    discard(pairs, alike)
+    comps = components(linked.union(more))
 
     low = classes.join(comps, "node").groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = comps.join(low, "comp").select("node", "component_id")
     own = classes.where("rows > 1").join(named, "node", "left_anti").select("node", F.col("rep").alias("component_id"))
     table = durable(named.union(own), "components")
+    discard(linked, more, comps, classes)
     out = sketches.select("doc_id", "n_shingles", "node").join(table, "node", "left")
     comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))

@@ -21,14 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from tidegap.llm.common import small_batches, trimmed
-from tidegap.llm.tokens import byte_groups
+from tidegap.llm.common import byte_groups, columns, plain, small_batches, trimmed
 
 MARK = "▁"
-GROUP_BYTES = 6 << 20
-CACHE = 500_000
-PAIRS = 1_000_000
+#: Bytes of text at a time; words and tested pairs that a worker keeps.
+GROUP_BYTES = 2 << 20
+CACHE = 150_000
+PAIRS = 400_000
 PUNCTUATION = ",.!?;:\"')]}|"
 _NONE = -1
 
@@ -174,8 +175,14 @@ def _model(path: str) -> Pieces:
     return _models.get(path) or _models.setdefault(path, Pieces(path))
 
 
-def _carried(docs: DataFrame, keep: tuple[str, ...]) -> str:
-    return "".join(f"`{n}` {docs.schema[n].dataType.simpleString()}, " for n in keep)
+def _forget() -> None:
+    """Words aren't kept between tasks; the tested pairs of pieces are of use to any text."""
+    for p in _models.values():
+        p.known = {}
+
+
+def _carried(docs: DataFrame, keep: tuple[str, ...]) -> T.StructType:
+    return T.StructType([docs.schema[n] for n in keep])
 
 
 def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
@@ -185,7 +192,9 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), ids
     Tokens are the library's for ``model``, without begin and end. tokens_crc is the
     CRC-32 of the tokens as little-endian 32-bit integers; round_trip says whether they
     decode to the text (a literal marker character comes back as a space). Null and
-    empty texts have no tokens. Rows are independent; an empty table gives no rows.
+    empty texts have no tokens. Rows are independent; an empty table gives no rows. Columns
+    that aren't kept are ignored, whatever their names; kept ones may not have a result's
+    name. A very long text is encoded at once, in some 20 bytes of memory a byte of text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,14 +216,16 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), ids
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*keep, *(["tokens"] if ids else []), "n_tokens", "tokens_crc", "round_trip"])
 
     small_batches(docs.sparkSession)
-    kinds = _carried(docs, keep) + ("tokens array<int>, " if ids else "") + "n_tokens long, tokens_crc long, round_trip boolean"
-    from pyspark.sql import functions as F
-
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(trimmed(run), kinds)
+    schema = _carried(docs, keep)
+    if ids:
+        schema.add("tokens", T.ArrayType(T.IntegerType()))
+    schema.add("n_tokens", "long").add("tokens_crc", "long").add("round_trip", "boolean")
+    return plain(docs.select(*columns([*keep, "text"]))).mapInArrow(trimmed(run, _forget), schema)
 
 
 def decode(tokens: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the decoded text of a tokens column (null: null)."""
+    """The columns ``keep`` (not ``text``) and the decoded text of a tokens column (null:
+    null). Other columns are ignored, rows are independent, an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _model(model)
@@ -223,4 +234,5 @@ def decode(tokens: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -
             texts = [None if r is None else p.decode(array("i", r).tobytes()) for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
 
-    return tokens.select(*keep, "tokens").mapInArrow(trimmed(run), _carried(tokens, keep) + "text string")
+    small_batches(tokens.sparkSession)
+    return plain(tokens.select(*columns([*keep, "tokens"]))).mapInArrow(trimmed(run), _carried(tokens, keep).add("text", "string"))
