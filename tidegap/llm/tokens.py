@@ -1,11 +1,9 @@
 """Token counts by batch encoding in Arrow functions that return lengths only.
 
-Batches are balanced by bytes. Long texts are split at safe boundaries: before white
-space that follows something else, where no token of the vocabulary's pre-tokenizer can
-reach across. Two encoders of one vocabulary share the work. The quick one (a rank table
-of the same merges) takes segments of plain Latin text, where both are tested to agree;
-the vocabulary's own library takes the rest: other scripts, whose character classes
-depend on a library's Unicode version, and very long unbroken runs.
+Long texts are split at safe boundaries: before white space that follows something else,
+where no token of the vocabulary's pre-tokenizer can reach across. The segments of many
+texts make batches of about equal bytes for the vocabulary's own library, and only the
+sums of their lengths leave the worker.
 """
 
 from __future__ import annotations
@@ -17,19 +15,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidegap.llm.common import small_batches, trimmed
+from tidegap.llm.common import byte_groups, small_batches, trimmed
 
-GROUP_BYTES = 2 << 20
-SEGMENT = 1 << 15
-LONG_RUN = 400
+#: Bytes of a batch, and characters from which on a segment ends at the next boundary.
+BATCH_BYTES = 1 << 20
+SEGMENT = 1 << 13
 LIMIT = 512
 
 # Code points with the Unicode property White_Space.
 SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 WHITE = "".join(map(chr, SPACES))
 BOUNDARY = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
-#: Beyond Latin letters and general punctuation.
-RARE = re.compile(f"[^\\x00-{chr(0x24F)}{chr(0x2010)}-{chr(0x2027)}]")
 
 
 def segments(text: str, size: int = SEGMENT) -> list[str]:
@@ -45,52 +41,38 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
 
 
 class Counter:
-    """Token counts of texts by a tokenizer file (byte-level BPE in JSON)."""
+    """Token counts of texts by a tokenizer file of the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cut = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
-        byte_of = _byte_alphabet()
-        vocabulary = self.library.get_vocab(with_added_tokens=False)
-        ranks = {bytes(map(byte_of.__getitem__, k)): v for k, v in vocabulary.items() if k not in self.special}
-        self.quick = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(self, texts: list[str]) -> list[int]:
-        """Counts in order; the library's share is encoded as one batch."""
-        counts, slow, owner = [0] * len(texts), [], []
-        encode = self.quick.encode_ordinary
+        """Counts in order. Batches hold whole segments and BATCH_BYTES at least, but for
+        the last one, so one segment more at most."""
+        counts, batch, owner, room = [0] * len(texts), [], [], 0
+
+        def flush() -> None:
+            for i, code in zip(owner, self.library.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+                counts[i] += len(code)
+
         for i, text in enumerate(texts):
             for s in segments(text):
-                if (s.isascii() or not RARE.search(s)) and max(map(len, s.split()), default=0) < LONG_RUN:
-                    parts = self.cut.split(s)
-                    counts[i] += len(parts) - 1 + sum(len(encode(p)) for p in parts)
-                else:
-                    slow.append(s)
-                    owner.append(i)
-        for i, code in zip(owner, self.library.encode_batch_fast(slow, add_special_tokens=False), strict=True):
-            counts[i] += len(code)
+                batch.append(s)
+                owner.append(i)
+                room += len(s)
+                if room >= BATCH_BYTES:
+                    flush()
+                    batch, owner, room = [], [], 0
+        if batch:
+            flush()
         return counts
 
 
-# Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _byte_alphabet() -> dict[str, int]:
-    """Characters that stand for bytes: printable ones for themselves, the others in
-    order from code point 256."""
-    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 _counters: dict[str, Counter] = {}
 
 
@@ -100,13 +82,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     ``tokenizer`` is the path of a tokenizer file that executors have. Counts are the
     library's own, without added special tokens, truncation or padding; a special string
     inside a text is one token, as is its default. A null text counts as empty. Rows are
-    independent; other columns are ignored; an empty table gives no rows.
+    independent; other columns are ignored; an empty table gives no rows. Of a very long
+    text only a run without a safe boundary is one segment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counters.get(tokenizer) or _counters.setdefault(tokenizer, Counter(tokenizer))
         for batch in batches:
-            for at, to in byte_groups(batch.column(1), GROUP_BYTES):
+            for at, to in byte_groups(batch.column(1), BATCH_BYTES):
                 part = batch.slice(at, to - at)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 tokens = pa.array(counter.count(texts), pa.int64())
@@ -116,18 +99,3 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
-
-
-def byte_groups(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string column that hold about ``limit`` bytes, one row at least."""
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-    start = room = 0
-    for i, n in enumerate(sizes):
-        if room and room + n > limit:
-            yield start, i
-            start, room = i, 0
-        room += n
-    if start < len(sizes):
-        yield start, len(sizes)
