@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by collision counting.
 
-Vectors are dealt into blocks. Each block has, for every random projection, an array of
-its vectors sorted by the projected value. Around a query's own value a window collects
+Vectors are dealt into blocks, each with, for every random projection, an array of its
+vectors sorted by the projected value. Around a query's own value a window collects
 colliding vectors; widening the windows (virtual rehashing) needs no new index, only the
 newly covered ends are counted. A vector that collides in enough projections is verified
 by its exact cosine. At window radius R a vector no farther than R reaches the threshold
 with a probability of at least that of Z deviations, so the search of a block ends once
-R covers the distance of the k-th best vector found so far; a first bound of it comes
-from a bounded pilot sample that is compared in full.
+R covers the distance of the k-th best vector found so far. A first bound of that distance
+comes from a bounded sample; it gives a radius only, every result comes from collisions.
+
+A stated set of queries meets all blocks, a block and a group of queries at a time.
 """
 
 from __future__ import annotations
@@ -19,11 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegap.llm.common import durable
+from tidegap.llm.common import durable, small_batches
 
-PROJECTIONS, WIDTH, Z = 128, 1.0, 1.75
+PROJECTIONS, WIDTH, Z = 64, 1.0, 1.75
 STEP, LEVELS = 1.1, 3
-BLOCK, QUERY_GROUP, PILOT = 16_384, 8_192, 4_096
+#: Vectors of a block, queries sent to it at once and searched in one round.
+BLOCK, QUERY_GROUP, ROUND = 16_384, 8_192, 256
+#: More than what rounding to single precision changes a cosine or a distance by.
+ROUGH = 2e-3
+#: Rows of the sample that bounds distances: PILOT at most, and one row in PILOT_SHARE.
+PILOT, PILOT_SHARE = 4_096, 8
 
 
 def usable(vector: Column) -> Column:
@@ -56,52 +63,68 @@ class Block:
 
     def __init__(self, vectors: np.ndarray, m: int = PROJECTIONS):
         self.vectors, self.unit = vectors, _unit(vectors)
+        self.rough = self.unit.astype(np.float32)
         self.axes = np.random.RandomState(99).normal(size=(vectors.shape[1], m))
-        values = self.unit @ self.axes
-        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T.astype(np.int32))
-        self.sorted = np.take_along_axis(values.T, self.order, axis=1)
+        values = (self.unit @ self.axes).T
+        self.order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, self.order, axis=1)
         self.least = threshold(m)
 
-    def search(self, query: np.ndarray, k: int, far: float, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and exact cosines of the k best found (more on ties); ``far`` bounds the
-        k-th distance between unit vectors; ``own`` is the query's own place."""
-        unit = _unit(query[None, :])[0]
-        centre = unit @ self.axes
-        n = len(self.vectors)
-        counts = np.zeros(n, np.int64)
-        lo = hi = None
-        seen = np.zeros(n, bool)
-        if own >= 0:
-            seen[own] = True
-        best = np.empty(0)
+    def windows(self, centres: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end place (queries, projections) in each array within ``radius``."""
+        out = np.empty((2, *centres.shape), np.int64)
+        for j, s in enumerate(self.sorted):
+            out[0, :, j] = s.searchsorted(centres[:, j] - WIDTH * radius, "left")
+            out[1, :, j] = s.searchsorted(centres[:, j] + WIDTH * radius, "right")
+        return out[0], out[1]
+
+    def search(self, queries: np.ndarray, k: int, far: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and exact cosines of the k best found (more on ties);
+        ``far`` bounds the k-th distances between unit vectors; ``own`` are the queries' own
+        places (-1: none). Windows of all queries are widened in rounds; a round counts only
+        what the wider windows add at their two ends."""
+        units = _unit(queries)
+        centres, rough = units @ self.axes, units.astype(np.float32)
+        total, n = len(queries), len(self.vectors)
+        counts = np.zeros((total, n), np.int16)
+        seen = np.zeros((total, n), bool)
+        seen[np.flatnonzero(own >= 0), own[own >= 0]] = True
+        places: list[list[np.ndarray]] = [[] for _ in range(total)]
+        near: list[list[np.ndarray]] = [[] for _ in range(total)]
+        best = [np.empty(0)] * total
+        far = far.copy()
         radius = far / STEP ** (LEVELS - 1)
-        places: list[np.ndarray] = []
-        while True:
-            a = np.array([s.searchsorted(c - WIDTH * radius, "left") for s, c in zip(self.sorted, centre)])
-            b = np.array([s.searchsorted(c + WIDTH * radius, "right") for s, c in zip(self.sorted, centre)])
-            if lo is None:
-                new = [o[i:j] for o, i, j in zip(self.order, a, b)]
-            else:
-                new = [o[i:j] for o, i, j in zip(self.order, a, lo)] + [o[i:j] for o, i, j in zip(self.order, hi, b)]
-            counts += np.bincount(np.concatenate(new), minlength=n)
-            lo, hi = a, b
-            found = np.flatnonzero((counts >= self.least) & ~seen)
-            if len(found):
-                seen[found] = True
-                places.append(found)
-                best = np.sort(np.concatenate([best, self.unit[found] @ unit]))[-k:]
-            if len(best) == k:
-                far = min(far, math.sqrt(max(0.0, 2 - 2 * best[0])) + 1e-9)
-            if radius >= far:
-                break
-            radius = min(radius * STEP, far)
-        if not places:
-            return np.empty(0, np.int64), np.empty(0)
-        at = np.concatenate(places)
-        near = self.unit[at] @ unit
-        if len(at) > k:
-            at = at[near >= np.partition(near, -k)[-k] - 1e-9]
-        return at, cosine(self.vectors[at], query)
+        lo = hi = np.zeros(centres.shape, np.int64)
+        active, began = np.arange(total), False
+        while len(active):
+            a, b = self.windows(centres[active], radius[active])
+            if not began:
+                lo, hi, began = a.copy(), a.copy(), True
+            after = []
+            for i, q in enumerate(active.tolist()):
+                new = [o[x:y] for o, x, y in zip(self.order, a[i], lo[q])] + [o[x:y] for o, x, y in zip(self.order, hi[q], b[i])]
+                counts[q] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
+                lo[q], hi[q] = a[i], b[i]
+                found = np.flatnonzero((counts[q] >= self.least) & ~seen[q])
+                if len(found):
+                    seen[q][found] = True
+                    places[q].append(found)
+                    near[q].append(self.rough[found] @ rough[q])
+                    best[q] = np.sort(np.concatenate([best[q], near[q][-1]]))[-k:]
+                if len(best[q]) == k:
+                    far[q] = min(far[q], math.sqrt(max(0.0, 2 - 2 * best[q][0])) + ROUGH)
+                if radius[q] < far[q]:
+                    after.append(q)
+            active = np.array(after, np.int64)
+            radius[active] = np.minimum(radius[active] * STEP, far[active])
+        out = []
+        for q, found in enumerate(places):
+            at = np.concatenate([np.empty(0, np.int64), *found])
+            if len(at) > k:
+                score = np.concatenate(near[q])
+                at = at[score >= np.partition(score, -k)[-k] - ROUGH]
+            out.append((at, cosine(self.vectors[at], queries[q])))
+        return out
 
 
 def _doubles(column: pa.ChunkedArray) -> np.ndarray:
@@ -110,6 +133,18 @@ def _doubles(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
+def bounds(queries: np.ndarray, uids: np.ndarray, sample: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """A bound of each query's k-th distance by the sample (uids, unit vectors), the
+    query's own row left out; 2, which bounds any distance, if the sample is too small."""
+    out = np.full(len(queries), 2.0)
+    if len(sample[0]) > k:
+        near = _unit(queries) @ sample[1].T
+        near[uids[:, None] == sample[0][None, :]] = -2
+        kth = np.partition(near, -k, axis=1)[:, -k]
+        out = np.where(kth > -2, np.sqrt(np.maximum(0.0, 2 - 2 * kth)) + 1e-9, 2.0)
+    return out
+
+
 def nearest(table: DataFrame, queries: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score (cosine) of the k nearest rows found per query.
 
@@ -117,12 +152,14 @@ def nearest(table: DataFrame, queries: Column, id_col: str = "vec_id", vector: s
     the query's own, ties go to the smaller id. Unusable vectors (null, zero, null or
     non-finite components) and vectors whose length is not the most common one take no
     part. Repeated rows are candidates like others; a repeated query row is answered once
-    per row. With fewer candidates than k, all are returned; an empty table gives none.
+    per row, as is each row with a null id that is a query. With fewer candidates than k,
+    all are returned; an empty table gives none; other columns are ignored.
     """
     spark = table.sparkSession
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("q"))
     rows = rows.where(usable(F.col("v"))).withColumn("uid", F.monotonically_increasing_id())
     rows = durable(rows, "vectors")
+    small_batches(spark, 4096, 8 << 20)
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head(1)
     kind = "query_id long, query_uid long, id long, uid long, score double"
     final = Window.partitionBy("query_uid").orderBy(F.desc("score"), "id", "uid")
@@ -131,8 +168,8 @@ def nearest(table: DataFrame, queries: Column, id_col: str = "vec_id", vector: s
     n_blocks = max(1, math.ceil(total / BLOCK))
     n_queries = shape.where("q").count()
     n_groups = max(1, math.ceil(n_queries / QUERY_GROUP))
-    pilot = shape.orderBy(F.xxhash64("uid"), "uid").limit(PILOT).select("id", "uid", "v").toArrow()
-    sample = spark.sparkContext.broadcast((np.asarray(pilot["id"]), np.asarray(pilot["uid"]), _doubles(pilot["v"])))  # bounded by PILOT rows
+    pilot = shape.orderBy(F.xxhash64("uid"), "uid").limit(min(PILOT, total // PILOT_SHARE)).select("uid", "v").toArrow()
+    sample = spark.sparkContext.broadcast((np.asarray(pilot["uid"]), _unit(_doubles(pilot["v"]))))  # bounded by PILOT rows
 
     def deal(col: str, n: int):
         return F.pmod(F.xxhash64(col, F.lit(7)), F.lit(n)).cast("int")
@@ -143,27 +180,22 @@ def nearest(table: DataFrame, queries: Column, id_col: str = "vec_id", vector: s
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            ids, uids, vectors = np.asarray(right["id"]), np.asarray(right["uid"]), _doubles(right["v"])
-            p_ids, p_uids, p_vectors = sample.value
-            p_unit, block = _unit(p_vectors), Block(vectors)
+            ids, uids, block = right["id"].to_pylist(), np.asarray(right["uid"]), Block(_doubles(right["v"]))
             place = {u: i for i, u in enumerate(uids.tolist())}
-            first = right["block"][0].as_py() == 0
-            for q_id, q_uid, q in zip(left["id"].to_pylist(), left["uid"].to_pylist(), _doubles(left["v"])):
-                near = p_unit @ _unit(q[None, :])[0]
-                near[p_uids == q_uid] = -2
-                top = np.flatnonzero((near >= np.partition(near, -k)[-k] - 1e-9) & (near > -2)) if len(near) > k else np.flatnonzero(near > -2)
-                bound = math.sqrt(max(0.0, 2 - 2 * np.sort(near[top])[-k])) + 1e-9 if len(top) >= k else 2.0
-                at, score = block.search(q, k, bound, place.get(q_uid, -1))
-                found = {(int(ids[i]), int(uids[i]), float(s)) for i, s in zip(at, score)}
-                if first:  # the pilot's own best are rows as well
-                    found |= {(int(p_ids[i]), int(p_uids[i]), float(s)) for i, s in zip(top, cosine(p_vectors[top], q))}
-                out += [(q_id, q_uid, *f) for f in sorted(found, key=lambda f: (-f[2], f[0], f[1]))[:k]]
+            q_ids, q_uids, vectors = left["id"].to_pylist(), np.asarray(left["uid"]), _doubles(left["v"])
+            for at in range(0, len(q_ids), ROUND):
+                part = slice(at, at + ROUND)
+                own = np.array([place.get(u, -1) for u in q_uids[part].tolist()])
+                answers = block.search(vectors[part], k, bounds(vectors[part], q_uids[part], sample.value, k), own)
+                for q_id, q_uid, (found, score) in zip(q_ids[part], q_uids[part].tolist(), answers, strict=True):
+                    rows = [(ids[i], int(uids[i]), float(s)) for i, s in zip(found.tolist(), score)]
+                    rows.sort(key=lambda f: (-f[2], f[0] is not None, f[0] or 0, f[1]))
+                    out += [(q_id, q_uid, *f) for f in rows[:k]]
         kinds = [pa.int64()] * 4 + [pa.float64()]
         return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["query_id", "query_uid", "id", "uid", "score"])
 
     found = asked.groupBy("block", "group").cogroup(blocks.groupBy("block", "group")).applyInArrow(search, kind)
-    # WindowGroupLimit keeps k rows per query before the shuffle; a row may come twice
-    found = found.dropDuplicates(["query_uid", "uid"])
+    # WindowGroupLimit keeps k rows per query before the shuffle
     ranked = found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
