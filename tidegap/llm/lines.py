@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegap.llm.common import columns, durable, fresh, plain, small_batches, trimmed, words
+from tidegap.llm.common import columns, discard, durable, fresh, plain, small_batches, trimmed, words
 
 #: Mean lines of a chunk is about CUT; a chunk has MAX_LINES at most.
 CUT, MAX_LINES = 3, 64
-#: Characters that make a line a chunk of its own, and the least of a removable chunk.
-LONG_LINE, LEAST = 120, 40
+#: Characters that make a line a chunk of its own.
+LONG_LINE = 120
 #: A repeated run of lines is removed whole if it has more words than this.
 RUN_WORDS = 50
 #: The place of a pair of lines is PAIRS + the number of its first line.
@@ -39,34 +39,32 @@ def chunks(text: str) -> list[tuple[str, bool]]:
     each may be removed: several lines that aren't blank, or a long one. A run of lines
     is cut only where it may be removed, so a single short line ends no chunk."""
     lines = text.split("\n")
-    out, run, rolling, full, size = [], [], 0, 0, 0
+    out, run, rolling, full = [], [], 0, 0
     for line in lines:
         if len(line) >= LONG_LINE:
             if run:
                 out.append(_chunk(run, full))
             out.append((line, bool(line.strip())))
-            run, rolling, full, size = [], 0, 0, 0
+            run, rolling, full = [], 0, 0
             continue
         run.append(line)
         full += bool(line.strip())
-        size += len(line) + 1
         h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
         rolling, window = h, (rolling * 0x9E3779B97F4A7C15 + h) & _M
-        if ((window >> 40) % CUT == 0 and full > 1 and size > LEAST) or len(run) == MAX_LINES:
+        if ((window >> 40) % CUT == 0 and full > 1) or len(run) == MAX_LINES:
             out.append(_chunk(run, full))
-            run, full, size = [], 0, 0
+            run, full = [], 0
     if run:
         out.append(_chunk(run, full))
     return out
 
 
 def _chunk(run: list[str], full: int) -> tuple[str, bool]:
-    text = "\n".join(run)
-    return text, full > 1 and len(text) >= LEAST
+    return "\n".join(run), full > 1
 
 
-def _hash(part: str, place: int) -> int:
-    return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), int(place >= PAIRS)) - (1 << 63)
+def _hash(part: str, place: int, bits: int = 64) -> int:
+    return (xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), int(place >= PAIRS)) >> (64 - bits)) - (1 << 63)
 
 
 def _parts(text: str) -> dict[int, str]:
@@ -83,19 +81,19 @@ def _parts(text: str) -> dict[int, str]:
     return out
 
 
-def _found(text: str, marks: list[dict] | None) -> list[tuple[dict, str]]:
+def _found(text: str, marks: list[dict] | None, bits: int = 64) -> list[tuple[dict, str]]:
     """Marks with the part at their place; marks of another text are left out."""
     parts = _parts(text) if marks else {}
-    return [(m, parts[m["place"]]) for m in marks or () if m["place"] in parts and _hash(parts[m["place"]], m["place"]) == m["hash"]]
+    return [(m, parts[m["place"]]) for m in marks or () if m["place"] in parts and _hash(parts[m["place"]], m["place"], bits) == m["hash"]]
 
 
-def dropped(text: str, marks: list[dict] | None) -> tuple[list[tuple[int, int]], set[int]]:
+def dropped(text: str, marks: list[dict] | None, bits: int = 64) -> tuple[list[tuple[int, int]], set[int]]:
     """The lines of each chunk (from, to), and the numbers of the lines to remove."""
     spans, at = [], 0
     for c, _ in chunks(text):
         spans.append((at, at + c.count("\n") + 1))
         at = spans[-1][1]
-    later = {m["place"]: m["origin"] for m, _ in _found(text, marks) if not m["first"]}
+    later = {m["place"]: m["origin"] for m, _ in _found(text, marks, bits) if not m["first"]}
     if not later:
         return spans, set()
     gone = {i for p in later if p < PAIRS for i in range(*spans[p])}
@@ -124,18 +122,22 @@ def dropped(text: str, marks: list[dict] | None) -> tuple[list[tuple[int, int]],
     return spans, gone
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _post(bits: int):
     """hash, doc_id, version, place of the parts of documents."""
     names = ["hash", "doc_id", "version", "place"]
-    for batch in batches:
-        rows = []
-        for doc_id, version, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            rows.extend((_hash(part, place), doc_id, version, place) for place, part in _parts(value.as_py() or "").items())
-            if len(rows) > 50_000:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, version, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rows.extend((_hash(part, place, bits), doc_id, version, place) for place, part in _parts(value.as_py() or "").items())
+                if len(rows) > 50_000:
+                    yield _columns(names, *zip(*rows))
+                    rows = []
+            if rows:
                 yield _columns(names, *zip(*rows))
-                rows = []
-        if rows:
-            yield _columns(names, *zip(*rows))
+
+    return run
 
 
 def _columns(names: list[str], *cols: list) -> pa.RecordBatch:
@@ -143,16 +145,20 @@ def _columns(names: list[str], *cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, cols, strict=True)], names)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(bits: int):
     """hash and text of marked parts, once per batch."""
-    for batch in batches:
-        found = set()
-        for value, marks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            found.update((m["hash"], part) for m, part in _found(value.as_py() or "", marks))
-        yield _columns(["hash", "chunk"], [h for h, _ in found], [c for _, c in found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for value, marks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found.update((m["hash"], part) for m, part in _found(value.as_py() or "", marks, bits))
+            yield _columns(["hash", "chunk"], [h for h, _ in found], [c for _, c in found])
+
+    return run
 
 
-def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, counts: bool = True, bits: int = 64) -> DataFrame:
     """The columns of ``docs`` with the shortened text, and n_chunks, n_removed_chunks,
     n_removed_lines if ``counts`` (which then replace columns of these names).
 
@@ -160,23 +166,26 @@ def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     length. A null text stays null. Rows with a null doc_id are left as they are. Rows
     that share a doc_id and a text count as one document, so they keep what one of them
     keeps; with different texts they are different documents (versions, in the order of
-    the texts' hashes). Two chunks with one hash but different bytes are both kept.
-    n_removed_chunks counts the chunks that lost all their lines.
+    the texts' hashes). Two chunks with one hash (of ``bits`` bits) but different bytes are
+    both kept. n_removed_chunks counts the chunks that lost all their lines. An empty table
+    gives no rows; a very long text takes some 30 times its size in a worker.
     """
     small_batches(docs.sparkSession)
     if counts:
         docs = docs.select(*columns([n for n in docs.columns if n.lower() not in COUNTS]))
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text")
-    posts = durable(plain(rows).mapInArrow(trimmed(_post), "hash long, doc_id long, version long, place int"), "chunks")
+    posts = durable(plain(rows).mapInArrow(trimmed(_post(bits)), "hash long, doc_id long, version long, place int"), "chunks")
     first = F.min(F.struct("doc_id", "version", "place"))
     repeated = durable(posts.groupBy("hash").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").drop("n"), "repeated")
     joined = _with_marks(docs, posts, repeated)
     marks = F.col(joined.columns[-1])
-    seen = joined.where(marks.isNotNull()).select("text", marks).mapInArrow(trimmed(_marked), "hash long, chunk string")
+    seen = joined.where(marks.isNotNull()).select("text", marks).mapInArrow(trimmed(_marked(bits)), "hash long, chunk string")
     clash = durable(seen.distinct().groupBy("hash").count().where("count > 1").select("hash"), "clash")
     if clash.head(1):
-        joined = _with_marks(docs, posts, repeated.join(clash, "hash", "left_anti"))
-    return _rewrite(docs, joined, counts)
+        clashing, joined = joined, _with_marks(docs, posts, repeated.join(clash, "hash", "left_anti"))
+        discard(clashing)
+    discard(posts, repeated, clash)
+    return _rewrite(docs, joined, counts, bits)
 
 
 def _with_marks(docs: DataFrame, posts: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -191,7 +200,7 @@ def _with_marks(docs: DataFrame, posts: DataFrame, repeated: DataFrame) -> DataF
     return durable(docs.join(marks, same, "left").drop(doc, version), "marked")
 
 
-def _rewrite(docs: DataFrame, joined: DataFrame, with_counts: bool) -> DataFrame:
+def _rewrite(docs: DataFrame, joined: DataFrame, with_counts: bool, bits: int) -> DataFrame:
     names = docs.columns
     at = names.index("text")
     extra = COUNTS if with_counts else []
@@ -200,7 +209,7 @@ def _rewrite(docs: DataFrame, joined: DataFrame, with_counts: bool) -> DataFrame
         for batch in batches:
             texts, counts = [], []
             for value, marks in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                spans, gone = dropped(value, marks) if value is not None else ([], set())
+                spans, gone = dropped(value, marks, bits) if value is not None else ([], set())
                 if gone:
                     value = "\n".join(x for i, x in enumerate(value.split("\n")) if i not in gone)
                 texts.append(value)
