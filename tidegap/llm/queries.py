@@ -64,4 +64,4 @@ QUERIES = {
         op6_line_dedup, op7_warc, op8_quality, op9_minhash, op10_secrets,
     )
 }
-ORACLE = {"op2_mix_sources": mixing.ORACLE_SQL, "op10_secrets": secrets.ORACLE_SQL}
+ORACLE = {"op2_mix_sources": mixing.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op10_secrets": secrets.ORACLE_SQL}

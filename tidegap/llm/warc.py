@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegap.llm.common import durable, shared_dir, small_batches, trimmed
+from tidegap.llm.common import discard, durable, shared_dir, small_batches, trimmed
 
 SEPARATOR = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 6000
+#: Payload bytes of a file at most, but for a single longer payload. Payloads above LARGE go
+#: to files of their own, so that a few of them don't make all files short.
+FILE_BYTES, LARGE = 256 << 20, 256 << 10
 SALTS = 16
 
 
@@ -45,13 +47,21 @@ def _record(kind: str, ident: str, uri: str, content: str, block: str, *more: tu
     return "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + block
 
 
+def request_of(uri: str) -> tuple[str, str]:
+    """Host and path of a request; no host and the root for what isn't an ASCII URL."""
+    try:
+        parts = urlsplit(uri if uri.isascii() else "")
+    except ValueError:  # such as an open bracket
+        return "", "/"
+    return parts.netloc, (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+
+
 def capture_records(page_id: int | None, url: str | None, html: str | None, original: int | None) -> list[str]:
     """request, response or revisit (of the page ``original``) and metadata records."""
     payload = (html or "").encode("utf-8", "surrogatepass")
     sha, uri = digest(payload), "".join((url or "about:blank").split())
     ident = record_id("capture", page_id, sha)
-    parts = urlsplit(uri) if uri.isascii() else urlsplit("")
-    path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    host, path = request_of(uri)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     linked = ("WARC-Concurrent-To", ident)
     proof = ("WARC-Payload-Digest", f"sha1:{sha}")
@@ -63,7 +73,7 @@ def capture_records(page_id: int | None, url: str | None, html: str | None, orig
     known = "" if page_id is None else f"page-id: {page_id}\r\n"
     known += "" if url is None else f"url: {base64.b64encode(url.encode('utf-8', 'surrogatepass')).decode()}\r\n"
     return [
-        _record("request", record_id("request", page_id, sha), uri, "application/http; msgtype=request", f"GET {path} HTTP/1.1\r\nHost: {parts.netloc}\r\n\r\n", linked),
+        _record("request", record_id("request", page_id, sha), uri, "application/http; msgtype=request", f"GET {path} HTTP/1.1\r\nHost: {host}\r\n\r\n", linked),
         main,
         _record("metadata", record_id("metadata", page_id, sha), uri, "application/warc-fields", known, linked),
     ]
@@ -73,8 +83,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write pages (page_id, url, html) as gzip-compressed WARC files below ``path``.
 
     Of equal payloads of at least ``least`` bytes the one with the largest page_id is the
-    response. Payloads move once, in the join with the repeated digests, which is salted
-    so that a very common payload is spread.
+    response. Payloads move once at most, in the join with the repeated digests, which is
+    salted so that a very common payload is spread.
     """
     body = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("size"))
@@ -91,8 +101,11 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
                 part = batch.slice(at, 256).to_pydict()
                 yield pa.RecordBatch.from_arrays([pa.array([r for row in zip(*part.values(), strict=True) for r in capture_records(*row)], pa.string())], ["value"])
 
-    text = joined.select("page_id", "url", "html", original.alias("original")).mapInArrow(trimmed(run), "value string")
-    text.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    longest = rows.agg(F.max("size")).head()[0] or 1
+    for part, size in ((F.col("size") <= LARGE, min(longest, LARGE)), (F.col("size") > LARGE, longest))[: 1 + (longest > LARGE)]:
+        text = joined.where(part).select("page_id", "url", "html", original.alias("original")).mapInArrow(trimmed(run), "value string")
+        text.write.mode("append").option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", 3 * max(1, FILE_BYTES // size)).text(path)
+    discard(keys)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -183,9 +196,11 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Archive ``pages``, read the archives and return a digest row per page.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to (the response's
-    page_id for revisits), intact (a response's bytes have their digest). A null html is
-    an empty payload; equal rows are repeated captures; other columns are ignored; an
-    empty table gives no rows.
+    page_id for revisits), intact (a response's bytes have their digest; null for a
+    revisit). A null html is an empty payload; a null or malformed url makes a request
+    without a host; a page with a null id is the response of its payload only if all of
+    them are null; equal rows are repeated captures; other columns are ignored; an empty
+    table gives no rows. Payloads are held one at a time.
     """
     import uuid
 
@@ -205,10 +220,14 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+# SQL: base32 digits are taken from the hexadecimal digest, eight of each ten hex digits.
 ORACLE_SQL = """
 with p as (select page_id, coalesce(html, '') as body from pages),
-k as (select body, max(page_id) as original, count(*) as n from p group by body)
-select p.page_id, strlen(p.body)::bigint as payload_bytes, sha1(p.body) as sha,
-  case when p.page_id = original then 'response' else 'revisit' end as record_type,
-  case when p.page_id <> original then original end as refers_to from p join k using (body)
+k as (select body, sha1(body) as hex, max(page_id) as original from p group by body),
+d as (select *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (((('0x' || substr(hex, (i // 8) * 10 + 1, 10))::bigint >> (35 - 5 * (i % 8))::bigint) & 31) + 1)::int, 1)), 'string_agg', '') as digest from k)
+select p.page_id, strlen(p.body)::bigint as payload_bytes, digest as payload_digest,
+  case when p.page_id is not distinct from original then 'response' else 'revisit' end as record_type,
+  case when p.page_id is distinct from original then original end as refers_to,
+  case when p.page_id is not distinct from original then true end as intact from p join d using (body)
 """
