@@ -3,8 +3,8 @@
 Patterns find parts: access identifiers, secrets and endpoints. Strong parts (the kinds
 assign, access and hex) are findings by themselves. Weak ones, which alone would be
 noise, are findings only if a complementary part lies in the same scope: an interval
-join of parts by position, made inside the document's row, so that no text and no part
-is shuffled. Each kind's weak side probes the other kinds' intervals.
+join of the parts of a row, made as a sweep over their sorted places. Texts stay where
+they are; only places are shuffled.
 
 Positions are code points. A pattern's gaps and matches are extracted alternately, so
 running sums of their lengths are the positions.
@@ -12,9 +12,11 @@ running sums of their lengths are the positions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegap.llm.common import durable
+
 SCOPE = 200
 
 
@@ -59,82 +61,89 @@ def _may_hold(text: Column, kind: str) -> Column:
 
 
 def _found(text: Column, kind: str, pattern: str, least: int) -> Column:
-    """array<struct<start, end, kind>> of a kind's matches that are long enough."""
+    """array<struct<gap, len, own>> of a kind's matches: characters since the last one, its
+    length and the length that counts."""
     # \G: a search that fails at the text's tail is not begun anew at each place of it
     whole = F.lit(f"\\G(?s:(.*?))({pattern})")
     gaps, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
-    spans = F.transform(
+    found = F.transform(
         F.arrays_zip(gaps.alias("g"), hits.alias("h")),
         lambda z: F.struct(F.length(z["g"]).alias("gap"), F.length(z["h"]).alias("len"), _value_length(z["h"], kind).alias("own")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, z: Column) -> Column:
-        a = acc["at"] + z["gap"]
-        b = a + z["len"]
-        own = F.array(F.struct(a.alias("start"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(z["own"] >= least, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(spans, start, step, lambda acc: acc["out"])
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(_may_hold(text, kind), found).otherwise(empty)
+    return F.when(_may_hold(text, kind), found).otherwise(F.array().cast("array<struct<gap:int,len:int,own:int>>"))
 
 
 def _value_length(hit: Column, kind: str) -> Column:
     return F.length(F.regexp_replace(hit, "^" + ASSIGN_HEAD, "")) if kind == "assign" else F.length(hit)
 
 
-def _near(part: Column, others: list[Column], scope: int) -> Column:
-    """A part of ``others`` begins or ends within ``scope`` of this one."""
-    hit = F.lit(False)
-    for o in others:
-        hit = hit | F.exists(o, lambda x: (x["start"] <= part["end"] + scope) & (x["end"] >= part["start"] - scope))
-    return hit
-
-
-def _linked(kind: str, scope: int) -> Column:
-    """Weak spans of a kind with a complement in scope."""
-    others = [F.col(o) for o in NEEDS[kind]]
-    return F.filter(F.col(kind), lambda p: _near(p, others, scope))
-
-
-def _outside(part: Column, others: list[Column]) -> Column:
-    """No strong span overlaps this one."""
-    clear = F.lit(True)
-    for o in others:
-        clear = clear & ~F.exists(o, lambda x: (x["start"] < part["end"]) & (x["end"] > part["start"]))
-    return clear
-
+def _parts(found: DataFrame) -> DataFrame:
+    """rid, kind (its number), start and end of the parts that are long enough. A part's
+    place is the running sum of gaps and lengths up to it, among its kind in its row."""
+    kinds = list(STRONG | WEAK)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("found")) for i, k in enumerate(kinds)])).alias("x")
+    rows = found.select("rid", each).select("rid", F.col("x.kind").alias("kind"), F.posexplode("x.found").alias("at", "f"))
+    run = Window.partitionBy("rid", "kind").orderBy("at")
+    rows = rows.select("rid", "kind", F.sum(F.col("f.gap") + F.col("f.len")).over(run).alias("end"), F.col("f.len").alias("len"), F.col("f.own").alias("own"))
+    least = F.element_at(F.array(*[F.lit(n) for _, n in (STRONG | WEAK).values()]), F.col("kind") + 1)
+    return rows.where(F.col("own") >= least).select("rid", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
 
-def _joined(parts: list[tuple[int, str, Column]]) -> Column:
-    """kind:start:end by start, then by the order of kinds, comma-joined."""
 
-    def tag(place: int, kind: str, spans: Column) -> Column:
-        return F.transform(spans, lambda p: F.struct(p["start"].alias("s"), F.lit(place).alias("o"), F.concat_ws(":", F.lit(kind), p["start"].cast("string"), p["end"].cast("string")).alias("t")))
+def _reached(parts: DataFrame, needs: dict[int, tuple[int, ...]], before: int, scope: int) -> DataFrame:
+    """Parts with ``hit``: whether a part of a kind that its kind needs ends at or after its
+    start less ``scope`` (less ``before``) and starts at or before its end plus ``scope``.
 
-    tagged = [tag(*p) for p in parts]
-    return F.array_join(F.transform(F.array_sort(F.concat(*tagged)), lambda x: x["t"]), ",")
+    The interval join is a sweep, not a comparison of all parts of a row with each other:
+    each part is at its own end as a partner and at its start as a seeker. From the right
+    to the left, the smallest start among the partners passed so far decides.
+    """
+    smallest = F.lit(None).cast("long")
+    role = F.explode(F.array(F.lit(0), F.lit(1))).alias("seeks")  # partners come first where both lie at one place
+    at = F.when(F.col("seeks") == 1, F.col("start") - scope + before).otherwise(F.col("end"))
+    rows = parts.select("rid", "kind", "start", "end", role).withColumn("at", at)
+    sweep = Window.partitionBy("rid").orderBy(F.desc("at"), "seeks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for wanted in sorted(set(needs.values())):
+        passed = F.min(F.when((F.col("seeks") == 0) & F.col("kind").isin(*wanted), F.col("start"))).over(sweep)
+        smallest = F.when(F.col("kind").isin(*[k for k, w in needs.items() if w == wanted]), passed).otherwise(smallest)
+    rows = rows.withColumn("least", smallest).where("seeks = 1")
+    hit = F.coalesce(F.col("least") <= F.col("end") + scope - before, F.lit(False))
+    return rows.select("rid", "kind", "start", "end", hit.alias("hit"))
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for every row.
 
-    ``spans`` holds all strong spans and the linked weak ones. Null and empty texts have
-    none. Rows are independent: repeated rows give repeated results, other columns are
-    ignored, an empty table gives none. Weak spans that overlap a strong one or lack a
-    complement within ``scope`` code points are left out.
+    ``spans`` holds all strong spans and the linked weak ones, ties in the order of kinds.
+    Null and empty texts have none. Rows are independent: repeated rows give repeated
+    results, other columns are ignored, an empty table gives none. Weak spans that overlap a
+    strong one or lack a complement within ``scope`` code points are left out; a part that
+    begins just ``scope`` after another's end is within. Texts of any length are searched
+    whole; only the places of parts are shuffled, by row, and a row's parts are sorted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", *[_found(text, k, *p).alias(k) for k, p in (STRONG | WEAK).items()])
-    strong = [(i, k, F.col(k)) for i, k in enumerate(STRONG)]
-    free = {k: F.filter(F.col(k), lambda p: _outside(p, [F.col(s) for s in STRONG])) for k in WEAK}
-    rows = rows.withColumns(free)
-    linked = [(i + len(STRONG), k, _linked(k, scope)) for i, k in enumerate(WEAK)]
-    return rows.select(
+    kinds = list(STRONG | WEAK)
+    n_strong = len(STRONG)
+    found = docs.select("doc_id", *[_found(text, k, *p).alias(k) for k, p in (STRONG | WEAK).items()])
+    found = durable(found.withColumn("rid", F.monotonically_increasing_id()), "found")
+    parts = durable(_parts(found), "parts")
+    weak = {i: tuple(range(n_strong)) for i in range(n_strong, len(kinds))}
+    free = _reached(parts, weak, 1, 0).where((F.col("kind") < n_strong) | ~F.col("hit")).drop("hit")
+    needs = {kinds.index(k): tuple(kinds.index(o) for o in v) for k, v in NEEDS.items()}
+    linked = _reached(free, needs, 0, scope).where((F.col("kind") < n_strong) | F.col("hit"))
+    name = F.element_at(F.array(*map(F.lit, kinds)), F.col("kind") + 1)
+    span = F.struct(F.col("start").alias("s"), F.col("kind").alias("k"), F.concat_ws(":", name, "start", "end").alias("t"))
+    ends = linked.groupBy("rid").agg(
+        *[F.count_if(F.col("kind") == i).alias(f"n_{k}") for i, k in enumerate(STRONG)],
+        F.array_sort(F.collect_list(span)).alias("all"),
+    )
+    base = F.filter("all", lambda x: x["k"] < n_strong)
+    joined = [F.coalesce(F.array_join(F.transform(c, lambda x: x["t"]), ","), F.lit("")) for c in (base, F.col("all"))]
+    out = found.select("doc_id", "rid").join(durable(ends, "spans"), "rid", "left")
+    return out.select(
         "doc_id",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in STRONG],
-        F.sha2(_joined(strong).cast("binary"), 256).alias("base_sha256"),
-        _joined(strong + linked).alias("spans"),
+        *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in STRONG],
+        F.sha2(joined[0].cast("binary"), 256).alias("base_sha256"),
+        joined[1].alias("spans"),
     )
 
 
