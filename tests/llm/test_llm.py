@@ -58,8 +58,8 @@ def test_token_counts_agree_with_library(spark):
 
 
 def test_segments_join_to_the_text():
-    text = prose(5000, 4) + "\n\n" + "y" * 50_000
-    assert "".join(tokens.segments(text, 1000)) == text
+    text = " \n" + prose(5000, 4) + "\n\n" + "y" * 50_000 + " \t"
+    assert "".join(tokens.segments(text)) == text
     counter = tokens.Counter(public_tokenizers.path("byte_bpe_50k.json"))
     alphabet = ["a", "B", "é", "9", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "<|endoftext|>", "中", "."]
     r = random.Random(5)
