@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegap.functions.paths import basename, dirname, join_path
@@ -17,16 +17,20 @@ def default_output(files: DataFrame, url: str = "url", id_col: str = "id") -> Da
 
 def manifest(photos: DataFrame, output: str, url: str = "url", album: str = "name", move: bool = False) -> DataFrame:
     """source, destination, action and ``conflict``: rows of a destination after its first."""
+    dest = join_path(F.lit(output), F.col(album), basename(F.col(url)))
+    return _planned(photos, F.col(url), dest, "move" if move else "copy")
+
+
+def flatten_manifest(files: DataFrame, url: str = "url", output: str | None = None) -> DataFrame:
+    """Moves every file of a tree into one directory, the working one unless ``output`` is given."""
     name = basename(F.col(url))
-    dest = join_path(F.lit(output), F.col(album), name)
-    out = photos.select(F.col(url).alias("source"), dest.alias("dest"), F.lit("move" if move else "copy").alias("action"))
-    turn = F.row_number().over(Window.partitionBy("dest").orderBy("source"))
-    return out.withColumn("conflict", turn > 1)
+    return _planned(files, F.col(url), name if output is None else join_path(F.lit(output), name), "move")
 
 
-def flatten_manifest(files: DataFrame, url: str = "url") -> DataFrame:
-    """Moves every file of a tree into the working directory."""
-    return files.select(F.col(url).alias("source"), basename(F.col(url)).alias("dest"), F.lit("move").alias("action"))
+def _planned(files: DataFrame, source: Column, dest: Column, action: str) -> DataFrame:
+    out = files.select(source.alias("source"), dest.alias("dest"), F.lit(action).alias("action"))
+    turn = F.row_number().over(Window.partitionBy("dest").orderBy("source"))
+    return out.withColumn("conflict", turn > 1)
 
 
 def execute(plan: DataFrame, dry_run: bool = True) -> DataFrame:
@@ -40,6 +44,7 @@ def execute(plan: DataFrame, dry_run: bool = True) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import os
         import shutil
+        import uuid
 
         for pdf in batches:
             status = []
@@ -53,7 +58,7 @@ def execute(plan: DataFrame, dry_run: bool = True) -> DataFrame:
                         status.append("done")
                     else:
                         os.makedirs(os.path.dirname(row.dest) or ".", exist_ok=True)
-                        part = f"{row.dest}.part"
+                        part = f"{row.dest}.{uuid.uuid4().hex}.part"  # a task may run twice at once
                         shutil.copy2(row.source, part)
                         os.replace(part, row.dest)
                         if row.action == "move":

@@ -31,11 +31,22 @@ def extent(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("t_ms").alias("lo"), F.max("t_ms").alias("hi"))
 
 
+def _whole(df: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
+    """df with aggregates of each row's key. They are combined before the shuffle and joined,
+    so that a key with most rows is split, which a window over it would not be."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    table = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*[c.alias(n) for n, c in sums.items()])
+    if not keys:
+        return df.crossJoin(F.broadcast(table))  # exactly one row
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return df.join(table, on).drop(*names)
+
+
 def points(df: DataFrame, keys: Sequence[str], width: float | None = None) -> DataFrame:
     """x, y and radius of each row on its key's timeline."""
-    w = Window.partitionBy(*keys)
-    x = time_scale(F.col("t_ms"), F.min("t_ms").over(w), F.max("t_ms").over(w), width or inner_width())
-    return df.withColumn("x", x).withColumn("y", F.lit(10)).withColumn("r", F.lit(2))
+    rows = _whole(df, keys, _lo=F.min("t_ms"), _hi=F.max("t_ms"))
+    x = time_scale(F.col("t_ms"), F.col("_lo"), F.col("_hi"), width or inner_width())
+    return rows.withColumn("x", x).withColumn("y", F.lit(10)).withColumn("r", F.lit(2)).drop("_lo", "_hi")
 
 
 def regions(albums: DataFrame, keys: Sequence[str], width: float | None = None) -> DataFrame:
@@ -57,9 +68,9 @@ def colors(albums: DataFrame, keys: Sequence[str], name: str = "name") -> DataFr
 
 def series(df: DataFrame, x: Column, y: Column, keys: Sequence[str] = (), width: float = 660, height: float = 40, zoom: tuple | None = None) -> DataFrame:
     """Line layout of a series; ``zoom`` narrows the domain without dropping rows."""
-    w = Window.partitionBy(*keys)
-    lo, hi = (F.lit(zoom[0]), F.lit(zoom[1])) if zoom else (F.min(x).over(w), F.max(x).over(w))
-    return df.withColumn("px", time_scale(x, lo, hi, width)).withColumn("py", value_scale(y, F.max(y).over(w), height))
+    rows = _whole(df, keys, _lo=F.min(x), _hi=F.max(x), _top=F.max(y))
+    lo, hi = (F.lit(zoom[0]), F.lit(zoom[1])) if zoom else (F.col("_lo"), F.col("_hi"))
+    return rows.withColumn("px", time_scale(x, lo, hi, width)).withColumn("py", value_scale(y, F.col("_top"), height)).drop("_lo", "_hi", "_top")
 
 
 def progress_arc(done: Column, total: Column) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tidegap.operators.ranged import with_index
 
 
 def progressive_order(n: int) -> list[int]:
@@ -29,27 +30,42 @@ def progressive_order(n: int) -> list[int]:
     return out
 
 
-def progressive_priority(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add ``priority`` per key: rows sharing a size share one permutation."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+def priority_of(i: Column, n: Column) -> Column:
+    """The place of index i of n in ``progressive_order(n)``: a descent into the half that
+    holds i, in about log2(n) steps of built-in functions."""
+    start = F.struct(i.cast("long").alias("i"), n.cast("long").alias("n"), F.lit(0).cast("long").alias("base"))
+    ended = F.lit(-1).cast("long")
+
+    def step(at: Column, _: Column) -> Column:
+        i, n, base = at["i"], at["n"], at["base"]
+        mid = F.floor(n / 2)
+        here = F.when((n < 3) | (i == 0), base + i).when(i == n - 1, base + 1).when(i == mid, base + 2)
+        lower = i < mid
+        to = F.struct(
+            F.when(here.isNotNull(), ended).when(lower, i - 1).otherwise(i - mid - 1).alias("i"),
+            F.when(lower, mid - 1).otherwise(n - mid - 2).alias("n"),
+            F.when(here.isNotNull(), here).when(lower, base + 3).otherwise(base + mid + 2).alias("base"),
+        )
+        return F.when(i == ended, at).otherwise(to)
 
-    @F.pandas_udf(T.IntegerType())
-    def place(i, n):
-        import pandas as pd
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+    return F.aggregate(steps, start, step, lambda at: at["base"].cast("int"))
+
+
+def _indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranged: bool) -> DataFrame:
+    if ranged:
+        return with_index(df, keys, order)
+    w = Window.partitionBy(*keys)
+    return df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
 
-        ranks: dict[int, list[int]] = {}
-        for size in set(n):
-            rank = [0] * size
-            for at, index in enumerate(progressive_order(size)):
-                rank[index] = at
-            ranks[size] = rank
-        return pd.Series([ranks[b][a] for a, b in zip(i, n, strict=True)], dtype="int32")
 
-    return rows.withColumn("priority", place("_i", "_n")).drop("_i", "_n")
+def progressive_priority(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranged: bool = False) -> DataFrame:
+    """Add ``priority`` per key; ``ranged`` for keys that a task shouldn't sort at once."""
+    rows = _indexed(df, keys, order, ranged)
+    return rows.withColumn("priority", priority_of(F.col("_i"), F.col("_n"))).drop("_i", "_n")
 
 
-def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int = 50) -> DataFrame:
-    """Add a zero-based ``batch`` of ``size`` rows per key."""
-    row = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("batch", F.floor((row - 1) / size))
+def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int = 50, ranged: bool = False) -> DataFrame:
+    """Add a zero-based ``batch`` of ``size`` rows per key; ``ranged`` for keys that a task
+    shouldn't sort at once."""
+    return _indexed(df, keys, order, ranged).withColumn("batch", F.floor(F.col("_i") / size)).drop("_i", "_n")

@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 
 from tidegap.functions.timestamps import ms_to_ts
 from tidegap.operators.gaps import exceeds_auto, gaps, ordered
+from tidegap.operators.ranged import Ranges
 from tidegap.params import Params
+from tidegap.storage import durable
+
+#: Rows of a key that a task sorts at once.
+ROWS_OF_A_KEY = 5_000_000
 
 
 def assign(df: DataFrame, keys: Sequence[str], id_col: str, params: Params = Params()) -> DataFrame:
     """Add ``sep_ms`` and a zero-based ``album_id`` per key.
 
     Gaps, statistics, flags and the running count share one partitioning and one
-    sort, so a keyed timeline costs a single shuffle.
+    sort, so a keyed timeline costs a single shuffle; see ``assign_any`` for large keys.
     """
     out, whole = gaps(df, keys, id_col), Window.partitionBy(*keys)
     sep = F.col("sep_ms")
@@ -68,37 +73,51 @@ def by_session_window(df: DataFrame, keys: Sequence[str], ts: str, gap_ms: int)
     return out.agg(F.min("_ts").alias("start"), F.max("_ts").alias("end"), F.count("*").alias("n_photos")).drop("session_window")
 
 
-def assign_global(df: DataFrame, id_col: str, params: Params = Params(), partitions: int | None = None) -> DataFrame:
-    """``assign`` for one timeline without a key, without sorting it in one task.
+def assign_ranged(df: DataFrame, keys: Sequence[str], id_col: str, params: Params = Params(), partitions: int | None = None) -> DataFrame:
+    """``assign`` without sorting or counting a key in one task, whatever its share of rows.
 
-    Rows are ranged by time; lag and running counts stay inside a range, and a table
-    with one row per range carries the last time and the split count across.
+    Lag and running counts stay inside a range of rows; the last time, the sums and the
+    split count of keys that span ranges are carried across. The rows are written once, in
+    the shared folder. Columns whose names begin with an underscore and one of the letters
+    used here may not be among those of ``df``.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, "t_ms", id_col).withColumn("_p", F.spark_partition_id())
-    inside = ordered(["_p"], id_col)
-    ranged = ranged.withColumn("sep_ms", F.col("t_ms") - F.lag("t_ms").over(inside))
-    edge = Window.orderBy("_p")
-    ends = ranged.groupBy("_p").agg(F.min("t_ms").alias("_lo"), F.max("t_ms").alias("_hi"))
-    ends = ends.withColumn("_head", F.col("_lo") - F.lag("_hi").over(edge)).select("_p", "_lo", "_head")
-    first = F.row_number().over(inside) == 1
-    out = ranged.join(F.broadcast(ends), "_p").withColumn("sep_ms", F.when(first, F.col("_head")).otherwise(F.col("sep_ms")))
-    sep = F.col("sep_ms")
+    ranges = Ranges(df, keys, ["t_ms", id_col], partitions)
+    sep, square = F.col("sep_ms"), F.col("sep_ms").cast("decimal(16,0)") * F.col("sep_ms").cast("decimal(16,0)")
+    ends = ranges.pieces(ranges.rows, _lo=F.min("t_ms"), _hi=F.max("t_ms"))
+    heads = ends.withColumn("_head", F.col("_lo") - F.lag("_hi").over(ranges.along)).drop("_lo", "_hi")
+
+    def gapped(rows: DataFrame) -> DataFrame:
+        first = F.row_number().over(ranges.inside) == 1
+        lag = F.col("t_ms") - F.lag("t_ms").over(ranges.inside)
+        return ranges.carry(rows.withColumn("_first", first).withColumn("sep_ms", lag), heads).withColumn("sep_ms", F.when(F.col("_first"), F.col("_head")).otherwise(sep)).drop("_first", "_head")
+
+    def flagged(rows: DataFrame) -> DataFrame:
+        if params.auto:
+            sums = {"n": F.count(sep), "s": F.sum(sep.cast("decimal(18,0)")), "q": F.sum(square)}
+            out = rows.withColumns({f"_{k}": c.over(ranges.piece) for k, c in sums.items()})
+            out = ranges.carry(out, totals, place=False)
+            flag = exceeds_auto(sep, *[F.coalesce(f"_t{k}", f"_{k}") for k in sums])
+        else:
+            out, flag = rows, sep > F.lit(params.threshold_ms)
+        return out.withColumn("_f", F.coalesce(flag.cast("int"), F.lit(0))).drop("_n", "_s", "_q", "_tn", "_ts", "_tq")
+
+    spanning = gapped(ranges.spanning(ranges.rows))
     if params.auto:
-        stats = out.agg(
-            F.count(sep).alias("_n"),
-            F.sum(sep.cast("decimal(18,0)")).alias("_s"),
-            F.sum(sep.cast("decimal(16,0)") * sep.cast("decimal(16,0)")).alias("_q"),
-        )
-        out = out.crossJoin(F.broadcast(stats))  # exactly one row
-        flag = exceeds_auto(sep, F.col("_n"), F.col("_s"), F.col("_q"))
-    else:
-        flag = sep > F.lit(params.threshold_ms)
-    out = out.withColumn("_f", F.coalesce(flag.cast("int"), F.lit(0)))
-    before = out.groupBy("_p").agg(F.sum("_f").alias("_c"))
-    before = before.select("_p", (F.sum("_c").over(edge) - F.col("_c")).alias("_b"))
-    run = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("_r", F.sum("_f").over(run)).join(F.broadcast(before), "_p")
-    out = out.withColumn("album_id", (F.col("_r") + F.col("_b")).cast("int"))
-    return out.drop("_p", "_lo", "_head", "_f", "_r", "_b", "_n", "_s", "_q")
+        totals = durable(ranges.totals(spanning, _tn=F.count(sep), _ts=F.sum(sep.cast("decimal(18,0)")), _tq=F.sum(square)), "totals")
+    before = ranges.pieces(flagged(spanning), _c=F.sum("_f"))
+    before = durable(before.withColumn("_b", F.sum("_c").over(ranges.along) - F.col("_c")).drop("_c"), "before")
+    run = ranges.inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = ranges.carry(flagged(gapped(ranges.rows)).withColumn("_r", F.sum("_f").over(run)), before)
+    out = out.withColumn("album_id", (F.col("_r") + F.coalesce("_b", F.lit(0))).cast("int"))
+    return out.drop("_p", "_f", "_r", "_b")
+
+
+def assign_global(df: DataFrame, id_col: str, params: Params = Params(), partitions: int | None = None) -> DataFrame:
+    """``assign`` for one timeline without a key."""
+    return assign_ranged(df, [], id_col, params, partitions)
+
+
+def assign_any(df: DataFrame, keys: Sequence[str], id_col: str, params: Params = Params(), most: int = ROWS_OF_A_KEY) -> DataFrame:
+    """``assign`` if no key has more than ``most`` rows, ``assign_ranged`` otherwise."""
+    largest = df.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
+    return (assign if largest <= most else assign_ranged)(df, keys, id_col, params)

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tidegap.operators.gaps import gap_stats, gaps, with_t_ms
 from tidegap.operators.naming import with_names
-from tidegap.operators.sessions import assign, summarise
+from tidegap.operators.sessions import assign_any, summarise
 from tidegap.params import Params, to_unit
 from tidegap.sources.files import photos
 
 
 def albums(rows: DataFrame, keys: Sequence[str], id_col: str, ts: str = "ts", params: Params = Params()) -> DataFrame:
     """Named albums of timestamped rows."""
-    return with_names(summarise(assign(with_t_ms(rows, ts), keys, id_col, params), keys, id_col), params)
+    return with_names(summarise(assign_any(with_t_ms(rows, ts), keys, id_col, params), keys, id_col), params)
 
 
 def photo_albums(files: DataFrame, params: Params = Params()) -> DataFrame:

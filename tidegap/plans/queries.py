@@ -15,8 +15,9 @@ from tidegap.functions.timestamps import filename_date, parse_exif, resolve_time
 from tidegap.operators import copying, diff, layout, ordering
 from tidegap.operators.gaps import gap_stats, gaps, with_t_ms
 from tidegap.operators.naming import with_names
-from tidegap.operators.sessions import assign, assign_global, by_session_window, summarise
-from tidegap.params import Params, to_unit
+from tidegap.operators.sessions import assign, assign_global, assign_ranged, by_session_window, collect_photos, summarise
+from tidegap.params import Params, from_unit, to_unit
+from tidegap.storage import shared_dir
 
 KEYS, ID = ["user_id"], "event_id"
 HALF_DAY = Params(auto=False, separation=12, unit="hours")
@@ -36,6 +37,7 @@ def album_rows(spark: SparkSession, d: str, params: Params = Params()) -> DataFr
 
 
 SHOWN = ["user_id", "album_id", "start", "end", "n_photos"]
+T_ZERO = 1_704_067_200_000  # 2024-01-01 00:00:00
 
 
 def gaps_by_user(s, d):
@@ -65,6 +67,17 @@ def albums_auto_global(s, d):
     return summarise(assign_global(events(s, d), ID), [], ID).select(SHOWN[1:])
 
 
+def album_members_global(s, d):
+    """All columns are kept beside the album of the one timeline."""
+    out = assign_global(events(s, d, "event_type", "value"), ID)
+    return out.select("event_id", "user_id", "event_type", "value", "sep_ms", "album_id")
+
+
+def album_members_ranged(s, d):
+    """Keyed albums in the form for large keys."""
+    return assign_ranged(events(s, d, "value"), KEYS, ID).select("user_id", "event_id", "value", "album_id")
+
+
 def albums_manual_by_user(s, d):
     return album_rows(s, d, HALF_DAY).select(SHOWN)
 
@@ -100,6 +113,21 @@ def timeline_regions(s, d):
     return out.select("user_id", "album_id", F.round("x", 6).alias("x"), F.round("width", 6).alias("width"), "height")
 
 
+def timeline_brush(s, d):
+    """Detail scale of a series: twelve days fill the width, no row is dropped."""
+    rows = events(s, d, "value")
+    half = F.lit(12).cast("double")
+    lo = F.lit(T_ZERO).cast("double")
+    out = layout.series(rows, F.col("t_ms"), F.col("value"), KEYS, zoom=(lo, lo + from_unit(half, "days")))
+    return out.select("user_id", "event_id", F.round("px", 8).alias("px"))
+
+
+def timeline_web(s, d):
+    """Points on the wider scale of the web form."""
+    out = layout.points(events(s, d), KEYS, layout.inner_width(web=True))
+    return out.select("user_id", "event_id", F.round("x", 6).alias("x"))
+
+
 def region_colors(s, d):
     return layout.colors(with_names(album_rows(s, d)), KEYS).select("user_id", "album_id", "color")
 
@@ -171,6 +199,11 @@ def batch_chunks(s, d):
     return ordering.chunks(events(s, d), KEYS, ["t_ms", ID]).groupBy("user_id", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("low"))
 
 
+def batch_chunks_ranged(s, d):
+    """Batches in the form for large keys."""
+    return ordering.chunks(events(s, d, "value"), KEYS, ["t_ms", ID], ranged=True).groupBy("user_id", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("low"))
+
+
 def progressive_order(s, d):
     return ordering.progressive_priority(events(s, d), KEYS, ["t_ms", ID]).select("user_id", "event_id", "priority")
 
@@ -234,6 +267,45 @@ def iptc_decode(s, d):
     return out.select("event_id", F.try_element_at("m.iptc", F.lit("keywords"))[0].alias("keyword"))
 
 
+def album_photos_json(s, d):
+    """Each album with its photos nested in time order, as JSON."""
+    out = collect_photos(assign(events(s, d), KEYS, ID), KEYS, ID)
+    row = F.struct("user_id", "album_id", F.transform("photos", lambda p: F.struct(p["t_ms"].alias("t_ms"), p["id"].alias("id"))).alias("photos"))
+    return out.select("user_id", "album_id", F.to_json(row).alias("json"))
+
+
+def album_thumbnails_diff(s, d):
+    """Thumbnails by place in an album: the automatic against the half-day albums."""
+    auto, half = (diff.with_position(assign(events(s, d), KEYS, ID, p), ["user_id", "album_id"], ["t_ms", ID]) for p in (Params(), HALF_DAY))
+    return diff.keyed_diff(auto, half, ["user_id", "album_id", "pos"])
+
+
+def thumbnail_urls(s, d):
+    """Both forms of a thumbnail's URL; off the web it is hidden for two of three pages."""
+    url = F.col("url")
+    return table(s, d, "pages").select("page_id", thumbnail_url(url, F.col("page_id") % 3 == 0).alias("local"), thumbnail_url(url, F.lit(True), web=True).alias("web"))
+
+
+def move_manifest(s, d):
+    """A move into one album's directory below the directory of the first file."""
+    url = F.concat(F.lit("/in/"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("name"))
+    files = file_names(s, d).select(F.col("o_orderkey").alias("id"), url.alias("url"), F.lit("A").alias("album"))
+    where = copying.default_output(files).head()["output"]
+    return copying.manifest(files, where, album="album", move=True).groupBy("dest", "action").agg(F.count("*").alias("n"), F.count_if("conflict").alias("n_conflicts"))
+
+
+def flatten_moves(s, d):
+    """Every file of a tree into one directory; of equal names all but one are conflicts."""
+    url = F.concat(F.lit("/in/"), F.col("user_id").cast("string"), F.lit("/"), F.pmod("event_id", F.lit(97)).cast("string"), F.lit(".jpg"))
+    plan = copying.flatten_manifest(table(s, d, "events").select(url.alias("url")), output="/flat")
+    return plan.groupBy("dest", "action").agg(F.count("*").alias("n"), F.count_if("conflict").alias("n_conflicts"))
+
+
+def images_only(s, d):
+    out = file_names(s, d).withColumn("mime", mime_of(F.col("name")))
+    return out.where(is_media(F.col("mime"), videos=False)).select("o_orderkey", "mime")
+
+
 def summary_row(s, d):
     stats = gap_stats(gaps(events(s, d), KEYS, ID), KEYS)
     return stats.agg(F.sum("n_gaps").alias("n_gaps"), F.count("*").alias("n_timelines"), F.round(F.max("threshold_ms"), 3).alias("largest_threshold"))
@@ -250,8 +322,7 @@ def stream_recompute(s, d):
 
     from tidegap.streaming.recompute import start_recompute
 
-    base = s.conf.get("spark.checkpoint.dir", "/tmp/tidegap-checkpoints")
-    home = f"{base}/stream-{uuid.uuid4().hex}"
+    home = f"{shared_dir(s)}/tidegap/stream-{uuid.uuid4().hex}"
     rows = table(s, d, "events").select("event_id", "user_id", "ts")
     rows.repartition(4, "event_id").write.parquet(f"{home}/in")
     stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
@@ -260,6 +331,13 @@ def stream_recompute(s, d):
     return s.read.parquet(f"{home}/out").select(SHOWN)
 
 
+# SQL: the places of the recursive order: an interval gives its ends and its middle, then its halves follow.
+PROGRESSIVE = """with recursive s as (select user_id, event_id, row_number() over (partition by user_id order by (epoch_us(ts)//1000), event_id) - 1 as i, count(*) over (partition by user_id) as n from events where ts is not null),
+t(user_id, lo, hi, base) as (select distinct user_id, 0::bigint, n, 0::bigint from s union all
+  select user_id, unnest([lo + 1, lo + (hi - lo) // 2 + 1]), unnest([lo + (hi - lo) // 2, hi - 1]), unnest([base + 3, base + (hi - lo) // 2 + 2]) from t where hi - lo >= 3),
+r as (select user_id, unnest(case when hi - lo >= 3 then [lo, hi - 1, lo + (hi - lo) // 2] else range(lo, hi) end) as i, unnest(case when hi - lo >= 3 then [base, base + 1, base + 2] else range(base, base + hi - lo) end) as p from t where hi > lo)
+select user_id, event_id, p::int as priority from s join r using (user_id, i)"""
+
 # SQL: gaps, exact automatic splits and albums as common table expressions.
 GAPS = "g as (select user_id, event_id, (epoch_us(ts)//1000) as t, (epoch_us(ts)//1000) - lag((epoch_us(ts)//1000)) over w as x from events where ts is not null window w as (partition by user_id order by (epoch_us(ts)//1000), event_id))"
 AUTO = """f as (select *, count(x) over p as n, sum(x::hugeint) over p as s, sum(x::hugeint * x::hugeint) over p as q from g window p as (partition by user_id)),
@@ -280,6 +358,8 @@ ORACLE: dict[str, str] = {
     "albums_auto_by_user": f"{BY_USER} {SHOW}",
     "album_members_auto": f"with {GAPS}, {AUTO} select user_id, event_id, album_id from a",
     "albums_auto_global": f"with {ONE[0]}, {ONE[1]}, {ONE[3]} {ONE[4]}",
+    "album_members_global": f"with {ONE[0]}, {ONE[1]} select a.event_id, user_id, event_type, value, x as sep_ms, album_id from a join events using (event_id)",
+    "album_members_ranged": f"with {GAPS}, {AUTO} select a.user_id, a.event_id, value, album_id from a join events using (event_id)",
     "albums_manual_by_user": f"with {GAPS}, {MANUAL}, {ALBUMS} {SHOW}",
     "albums_manual_global": f"with {ONE[0]}, {ONE[2]}, {ONE[3]} {ONE[4]}".replace("43200000", "1800000"),
     "albums_session_window": f"with {GAPS}, {MANUAL}, {ALBUMS} {SHOW}".replace("album_id, make", "make"),
@@ -287,6 +367,8 @@ ORACLE: dict[str, str] = {
     "album_representatives": f"{BY_USER} select user_id, album_id, first_photo, last_photo, 'file://' || first_photo as first_photo_url, 'file://' || last_photo as last_photo_url from b",
     "timeline_extent": "select user_id, min((epoch_us(ts)//1000)) as lo, max((epoch_us(ts)//1000)) as hi from events where ts is not null group by user_id",
     "timeline_points": "with e as (select user_id, event_id, (epoch_us(ts)//1000) as t, min((epoch_us(ts)//1000)) over p as lo, max((epoch_us(ts)//1000)) over p as hi from events where ts is not null window p as (partition by user_id)) select user_id, event_id, round(coalesce((t-lo)::double / nullif(hi-lo, 0)::double * 660.0, 0), 6) as x, 10 as y, 2 as r from e",
+    "timeline_web": "with e as (select user_id, event_id, (epoch_us(ts)//1000) as t, min((epoch_us(ts)//1000)) over p as lo, max((epoch_us(ts)//1000)) over p as hi from events where ts is not null window p as (partition by user_id)) select user_id, event_id, round(coalesce((t-lo)::double / nullif(hi-lo, 0)::double * 960.0, 0), 6) as x from e",
+    "timeline_brush": f"select user_id, event_id, round(((epoch_us(ts)//1000) - {T_ZERO})::double / (12 * 86400000.0)::double * 660.0::double, 8) as px from events where ts is not null",
     "timeline_regions": f"{BY_USER}, c as (select *, min(lo) over p as l, max(hi) over p as h from b window p as (partition by user_id)), e as (select user_id, album_id, coalesce((lo-l)::double / nullif(h-l, 0)::double * 660.0, 0) as x, coalesce((hi-l)::double / nullif(h-l, 0)::double * 660.0, 0) as x2 from c) select user_id, album_id, round(x, 6) as x, round(x2 - x, 6) as width, 40 as height from e",
     "region_colors": f"{BY_USER}, c as (select user_id, album_id, min(lo) over (partition by user_id, {NAME}) as l, min(album_id) over (partition by user_id, {NAME}) as i from b) select user_id, album_id, (dense_rank() over (partition by user_id order by l, i) - 1) % 20 as color from c",
     "series_layout": "with e as (select user_id, event_id, value, (epoch_us(ts)//1000) as t, min((epoch_us(ts)//1000)) over p as lo, max((epoch_us(ts)//1000)) over p as hi, max(value) over p as top from events where ts is not null window p as (partition by user_id)) select user_id, event_id, round(coalesce((t-lo)::double / nullif(hi-lo, 0)::double * 660.0, 0), 5) as px, round(40.0::double * (1 - coalesce(value / nullif(top, 0), 0)), 5) as py from e",
@@ -300,6 +382,14 @@ ORACLE: dict[str, str] = {
     "enum_decode": "select l_orderkey, l_linenumber, case l_linenumber when 0 then 'Unknown' when 1 then 'Average' when 2 then 'CenterWeightedAverage' when 3 then 'Spot' when 4 then 'MultiSpot' when 5 then 'Pattern' when 6 then 'Partial' when 255 then 'Other' end as label from lineitem",
     "base64_roundtrip": "select doc_id, md5(text) as digest, case when text is not null then true end as same from documents",
     "batch_chunks": "select user_id, batch, count(*) as n, min(event_id) as low from (select user_id, event_id, (row_number() over (partition by user_id order by (epoch_us(ts)//1000), event_id) - 1) // 50 as batch from events where ts is not null) group by all",
+    "batch_chunks_ranged": "select user_id, batch, count(*) as n, min(event_id) as low from (select user_id, event_id, (row_number() over (partition by user_id order by (epoch_us(ts)//1000), event_id) - 1) // 50 as batch from events where ts is not null) group by all",
+    "progressive_order": PROGRESSIVE,
+    "album_thumbnails_diff": f"with {GAPS}, {AUTO}, pa as (select user_id, album_id, (row_number() over (partition by user_id, album_id order by t, event_id) - 1)::int as pos from a), {MANUAL.replace('a as', 'h as', 1)}, ph as (select user_id, album_id, (row_number() over (partition by user_id, album_id order by t, event_id) - 1)::int as pos from h) select user_id, album_id, pos, case when pa.user_id is null then 'enter' when ph.user_id is null then 'exit' else 'update' end as change from (select *, 1 as k from pa) pa full join (select *, 1 as k from ph) ph using (user_id, album_id, pos)".replace("pa.user_id is null", "pa.k is null").replace("ph.user_id is null", "ph.k is null"),
+    "thumbnail_urls": "select page_id, case when page_id % 3 = 0 then 'file://' || url else '' end as local, 'images/' || split_part(url, '/', -1) as web from pages",
+    "move_manifest": f"with f as (select '/in/' || arg_min(o_custkey, o_orderkey) as output from ({NAMES_SQL})) select output || '/A/' || name as dest, 'move' as action, count(*) as n, count(*) - 1 as n_conflicts from ({NAMES_SQL}), f group by dest",
+    "flatten_moves": "select '/flat/' || (event_id % 97) || '.jpg' as dest, 'move' as action, count(*) as n, count(*) - 1 as n_conflicts from events group by dest",
+    "images_only": f"select * from (select o_orderkey, case o_orderkey % 5 when 0 then 'image/jpeg' when 3 then 'image/png' end as mime from ({NAMES_SQL})) where mime is not null",
+    "album_photos_json": f"with {GAPS}, {AUTO} select user_id, album_id, '{{\"user_id\":' || user_id || ',\"album_id\":' || album_id || ',\"photos\":[' || string_agg('{{\"t_ms\":' || t || ',\"id\":' || event_id || '}}', ',' order by t, event_id) || ']}}' as json from a group by user_id, album_id",
     "keyed_diff": "select event_id, case when event_id % 3 = 0 then 'enter' when event_id % 5 = 0 then 'exit' else 'update' end as change from events where event_id % 3 <> 0 or event_id % 5 <> 0",
     "indexed_diff": f"{BY_USER} select user_id, (row_number() over (partition by user_id order by lo) - 1)::int as pos, case when user_id % 3 = 0 then 'enter' when user_id % 2 <> 0 then 'exit' else 'update' end as change from b where user_id % 3 <> 0 or user_id % 2 = 0",
     "copy_manifest": f"{BY_USER}, m as (select '/in/' || a.user_id || '/' || (event_id % 40) || '.jpg' as source, '/out/' || {NAME} || '/' || (event_id % 40) || '.jpg' as dest from a join b using (user_id, album_id)) select dest, 'copy' as action, count(*) as n, count(*) - 1 as n_conflicts, min(source) as source from m group by dest",
@@ -314,10 +404,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         gaps_by_user, gap_stats_by_user, gap_stats_in_unit, albums_auto_by_user, album_members_auto, albums_auto_global,
-        albums_manual_by_user, albums_manual_global, albums_session_window, albums_named, album_representatives,
-        timeline_extent, timeline_points, timeline_regions, region_colors, series_layout, progress_arc, mime_filter,
+        album_members_global, album_members_ranged, albums_manual_by_user, albums_manual_global, albums_session_window, albums_named, album_representatives,
+        timeline_extent, timeline_points, timeline_web, timeline_brush, timeline_regions, region_colors, series_layout, progress_arc, mime_filter,
         filename_date_rollover, exif_datetime_parse, resolved_timestamp, path_parts, enum_decode, base64_roundtrip,
-        batch_chunks, progressive_order, keyed_diff, indexed_diff, copy_manifest, exif_decode, iptc_decode, summary_row,
+        batch_chunks, batch_chunks_ranged, progressive_order, album_thumbnails_diff, thumbnail_urls, move_manifest,
+        flatten_moves, images_only, album_photos_json, keyed_diff, indexed_diff, copy_manifest, exif_decode, iptc_decode, summary_row,
         photos_json, stream_recompute,
     )
 } | {"filename_date": filename_dates}

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegap.operators.gaps import with_t_ms
@@ -25,11 +26,13 @@ def albums_of(rows: DataFrame, keys: Sequence[str], id_col: str, ts: str, params
 def start_recompute(stream: DataFrame, keys: Sequence[str], id_col: str, ts: str, store: str, checkpoint: str, publish: Callable[[DataFrame, int], None], params: Params = Params()) -> StreamingQuery:
     """Start a query that stores each micro-batch under its number (so a retry
     overwrites itself) and publishes the albums of all rows stored so far."""
-    spark, schema = stream.sparkSession, stream.schema
+    spark, part = stream.sparkSession, "_batch"
+    stored = T.StructType([*stream.schema, T.StructField(part, T.LongType())])
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        rows = spark.read.schema(schema).parquet(*[f"{store}/batch={i}" for i in range(number + 1)])
+        batch.write.mode("overwrite").parquet(f"{store}/{part}={number}")
+        # a batch that failed before may lie there already, so only numbers up to this one count
+        rows = spark.read.schema(stored).parquet(store).where(F.col(part) <= number).drop(part)
         publish(albums_of(rows, keys, id_col, ts, params), number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
