@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at the end what ``durable`` wrote inside; results must have been saved by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        discard(*_open.pop())
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a written table in the shared folder: lineage ends there, any executor can
     read it again, and joins on it get exchanges that adaptive execution may split."""
@@ -32,6 +47,8 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
