@@ -1,18 +1,16 @@
-"""What several operators share: durable tables and word splitting."""
+"""What several operators share: names, batches of bounded size and word splitting."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegap.storage import clean, discard, durable, shared_dir  # noqa: F401
+
 if TYPE_CHECKING:
     import pyarrow as pa
 
@@ -20,46 +18,6 @@ if TYPE_CHECKING:
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where driver and
-    executors are one process may it be unset: a temporary folder is then set, which goes
-    with the process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tidegap-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a written table in the shared folder: lineage ends there, any executor can
-    read it again, and joins on it get exchanges that adaptive execution may split."""
-    path = f"{shared_dir(df.sparkSession)}/tidegap/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``durable`` wrote and that no result reads."""
-    for t in tables:
-        _delete(t.sparkSession, t.written_at)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete all that operators left in the shared folder; results that read it must be saved before."""
-    _delete(spark, f"{shared_dir(spark)}/tidegap")
-
-
-def _delete(spark: SparkSession, where: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name``, led by underscores until none of ``taken`` is it in any case."""
     used = {t.lower() for t in taken}
