@@ -207,18 +207,18 @@ def test_nearest_repeated_queries_and_null_ids(spark):
 
 
 def lines_by_hand(rows):
-    """A plain model on short lines only (no long lines, whole passages of few words): every
-    chunk seen before goes, runs of more than 50 words by pairs of lines."""
+    """A plain model for passages of 50 words at most: every chunk seen before goes, be it
+    one of several lines or a long line."""
     out, seen = [], set()
     for text in rows:
         keep = []
         for chunk in by_rule(text):
-            if len([x for x in chunk if x.strip()]) > 1:
+            if len([x for x in chunk if x.strip()]) > 1 or len(chunk[0]) >= 120 and chunk[0].strip():
                 if "\n".join(chunk) in seen:
                     continue
                 seen.add("\n".join(chunk))
             keep += chunk
-        out.append("\n".join(keep))
+        out.append(text and "\n".join(keep))
     return out
 
 
@@ -229,7 +229,11 @@ def by_rule(text):
 
     out, run = [], []
     rolling = 0
-    for line in text.split("\n"):
+    for line in (text or "").split("\n"):
+        if len(line) >= 120:
+            out += [run, [line]] if run else [[line]]
+            run, rolling = [], 0
+            continue
         run.append(line)
         h = xxhash.xxh3_64_intdigest(line.encode())
         window = (rolling * 0x9E3779B97F4A7C15 + h) % 2**64
@@ -580,6 +584,69 @@ def test_pipeline_stages(spark):
     assert out.count() == d.count() and out.where("not round_trip").count() == 0
 
 
+def brute_mix(rows):
+    """doc_id: repeats. Documents of a source in the order of their hashes fill its budget."""
+    size = {i: len((t or "").encode().split()) for i, t, _ in rows}
+    total = {}
+    for i, _, s in rows:
+        total[s] = total.get(s, 0) + size[i]
+    out = {}
+    for s, target in fill(total).items():
+        base = min(int(target // total[s]), 3) if total[s] else 0
+        rest, sofar, full = target - base * total[s], 0, False
+        for i in sorted((i for i, _, x in rows if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()[:15]):
+            fits = not full and sofar + size[i] <= rest
+            if not full and not fits:  # the document at the boundary goes in if that is nearer
+                fits, full = sofar + size[i] - rest < rest - sofar and rest > 0, True
+            sofar += size[i]
+            out[i] = min(base + bool(fits and rest > 0), 3)
+    return {i: n if size[i] else 1 for i, n in out.items()}
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage against a plain version of it on that stage's own input."""
+    import corpus_pipeline
+    import sentencepiece
+
+    r = random.Random(14)
+    other = "der die und das nicht ein ich ist es mit auf von zu den wir sie".split()
+    pool = ["\n".join(f"{r.choice(WORDS)} {r.randint(0, 9)} {r.choice(WORDS)}" for _ in range(3)) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        words = WORDS if i % 3 else other
+        text = " ".join(r.choice(words) + r.choice(("", "", "a", "x")) for _ in range(r.randint(6, 40)))
+        if i % 7 == 0 and rows:
+            text = rows[r.randrange(len(rows))][1]
+        rows.append((i, f"{text}\n{r.choice(pool)}" if i % 4 == 0 and len(text.split()) < 30 else text, ("en", "de")[words is other], "abc"[i % 3]))
+    rows += [(90, None, "en", None), (91, "", "en", "a"), (92, "12 34", None, "b")]
+    d = spark.createDataFrame([(i, t, la, s, len(t or "")) for i, t, la, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        before = sorted(d.collect(), key=lambda x: x["doc_id"])
+        texts = [x["text"] for x in before]
+        net = langid.train(d) if name == "language_id" else None
+        d = durable(stage(spark, d, ""), name)
+        got = sorted(d.collect(), key=lambda x: x["doc_id"])
+        if name == "language_id":
+            want = []
+            for x in before:
+                low = (x["text"] or "").lower()
+                if any(c.isalpha() for c in low):
+                    code = np.frombuffer(low.encode(), np.uint8)[:, None].astype(np.int64)
+                    want += [x["doc_id"]] if net.probabilities(code).mean(axis=(1, 2)).max() >= corpus_pipeline.LEAST_SCORE else []
+            assert [x["doc_id"] for x in got] == want and len(want) > 60
+        elif name == "line_dedup":
+            assert [x["text"] for x in got] == lines_by_hand(texts) and any(x["text"] != t for x, t in zip(got, texts))
+        elif name == "near_dedup":
+            label, sets = brute_components(texts, 5, 80)
+            assert [x["doc_id"] for x in got] == [x["doc_id"] for i, x in enumerate(before) if label[i] == i] and len(got) < len(before)
+        elif name == "mix":
+            times = brute_mix([(x["doc_id"], x["text"], x["source"]) for x in before])
+            assert [x["doc_id"] for x in got] == [i for i in sorted(times) for _ in range(times[i])]
+        else:
+            sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+            assert [list(x["tokens"]) for x in got] == [sp.encode(t or "") for t in texts]
+
+
 def test_near_dedup_judges_rows_by_their_texts(spark):
     import corpus_pipeline
 
