@@ -177,25 +177,33 @@ def dedup_lines(docs: DataFrame, counts: bool = True, bits: int = 64) -> DataFra
     posts = durable(plain(rows).mapInArrow(trimmed(_post(bits)), "hash long, doc_id long, version long, place int"), "chunks")
     first = F.min(F.struct("doc_id", "version", "place"))
     repeated = durable(posts.groupBy("hash").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").drop("n"), "repeated")
-    joined = _with_marks(docs, posts, repeated)
+    found = durable(_marks(posts, repeated), "marks")
+    discard(posts, repeated)
+    joined = _with_marks(docs, found)
     marks = F.col(joined.columns[-1])
     seen = joined.where(marks.isNotNull()).select("text", marks).mapInArrow(trimmed(_marked(bits)), "hash long, chunk string")
     clash = durable(seen.distinct().groupBy("hash").count().where("count > 1").select("hash"), "clash")
     if clash.head(1):
-        clashing, joined = joined, _with_marks(docs, posts, repeated.join(clash, "hash", "left_anti"))
+        clashing, clear = joined, found.join(clash, F.col("m.hash") == F.col("hash"), "left_anti")
+        joined = _with_marks(docs, clear)
         discard(clashing)
-    discard(posts, repeated, clash)
+    discard(found, clash)
     return _rewrite(docs, joined, counts, bits)
 
 
-def _with_marks(docs: DataFrame, posts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Documents with an array of their repeated parts, as last column: hash, place,
-    whether it's the first place, and the row of the first place (origin)."""
-    doc, version, name = (fresh(n, docs.columns) for n in ("_doc", "_version", "_marks"))
+def _marks(posts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """doc_id, version and m for each repeated part: hash, place, whether it's the first
+    place, and the row of the first place (origin)."""
     is_first = F.col("first") == F.struct("doc_id", "version", "place")
     origin = F.xxhash64("first.doc_id", "first.version")
-    marks = posts.join(repeated, "hash").select("doc_id", "version", F.struct("hash", "place", is_first.alias("first"), origin.alias("origin")).alias("m"))
-    marks = marks.groupBy(F.col("doc_id").alias(doc), F.col("version").alias(version)).agg(F.collect_set("m").alias(name))
+    m = F.struct("hash", "place", is_first.alias("first"), origin.alias("origin")).alias("m")
+    return posts.join(repeated, "hash").select("doc_id", "version", m)
+
+
+def _with_marks(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents with an array of their marks, as last column."""
+    doc, version, name = (fresh(n, docs.columns) for n in ("_doc", "_version", "_marks"))
+    marks = found.groupBy(F.col("doc_id").alias(doc), F.col("version").alias(version)).agg(F.collect_set("m").alias(name))
     same = (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(version))
     return durable(docs.join(marks, same, "left").drop(doc, version), "marked")
 
