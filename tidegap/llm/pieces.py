@@ -27,9 +27,9 @@ from tidegap.llm.common import byte_groups, columns, plain, small_batches, trimm
 
 MARK = "▁"
 #: Bytes of text at a time; words and tested pairs that a worker keeps.
-GROUP_BYTES = 2 << 20
-CACHE = 150_000
-PAIRS = 400_000
+GROUP_BYTES = 4 << 20
+CACHE = 300_000
+PAIRS = 700_000
 PUNCTUATION = ",.!?;:\"')]}|"
 _NONE = -1
 
