@@ -240,7 +240,7 @@ def identify(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = (
     ``und`` with score 0 if the text is null, has no letter, or nothing was learned.
     Only the text decides; other columns are carried or ignored. Equal texts get equal
     results; an empty table gives no rows. A very long text is labelled in windows, in some
-    30 bytes of memory a byte of text.
+    10 bytes of memory a byte (measured on 5 MB).
     """
     langs, weights = (network.langs, network.weights) if network else ([], {})
     names = list(dict.fromkeys(keep))

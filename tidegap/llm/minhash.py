@@ -425,7 +425,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     smallest doc_id reachable. Null and wordless texts are empty sets, linked with
     nothing. Equal rows share a component; a null doc_id can't be a component_id unless
     all of its component are null. Other columns of ``docs`` are ignored; an empty table
-    gives no rows. A very long text takes some 60 bytes of memory a word.
+    gives no rows. A very long text takes some 150 bytes of memory a word (measured on 5 MB).
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

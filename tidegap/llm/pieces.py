@@ -194,7 +194,7 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), ids
     decode to the text (a literal marker character comes back as a space). Null and
     empty texts have no tokens. Rows are independent; an empty table gives no rows. Columns
     that aren't kept are ignored, whatever their names; kept ones may not have a result's
-    name. A very long text is encoded at once, in some 20 bytes of memory a byte of text.
+    name. A very long text is encoded at once, in some 30 bytes of memory a byte (measured on 5 MB).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     library's own, without added special tokens, truncation or padding; a special string
     inside a text is one token, as is its default. A null text counts as empty. Rows are
     independent; other columns are ignored; an empty table gives no rows. A very long text
-    is a batch of its own, in some 20 bytes of memory a character.
+    is a batch of its own, in some 13 bytes of memory a byte (measured on 5 MB).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
