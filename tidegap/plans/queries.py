@@ -21,6 +21,7 @@ from tidegap.storage import shared_dir
 
 KEYS, ID = ["user_id"], "event_id"
 HALF_DAY = Params(auto=False, separation=12, unit="hours")
+LONG = Params(auto=False, separation=30, unit="hours")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -209,13 +210,14 @@ def progressive_order(s, d):
 
 
 def keyed_diff(s, d):
-    rows = events(s, d).select("event_id")
-    return diff.keyed_diff(rows.where("event_id % 3 != 0"), rows.where("event_id % 5 != 0"), ["event_id"])
+    """Albums by user and first photo: the automatic against the 30-hour albums."""
+    return diff.keyed_diff(album_rows(s, d), album_rows(s, d, LONG), ["user_id", "first_photo"])
 
 
 def indexed_diff(s, d):
-    rows = diff.with_position(album_rows(s, d), KEYS, ["start_ms"])
-    return diff.keyed_diff(rows.where("user_id % 3 != 0"), rows.where("user_id % 2 = 0"), ["user_id", "pos"])
+    """Albums by user and place: the automatic against the 30-hour albums."""
+    auto, long = (diff.with_position(album_rows(s, d, p), KEYS, ["start_ms"]) for p in (Params(), LONG))
+    return diff.keyed_diff(auto, long, ["user_id", "pos"])
 
 
 def copy_manifest(s, d):
@@ -346,6 +348,11 @@ MANUAL = "a as (select *, sum(case when x > 43200000 then 1 else 0 end) over (pa
 ALBUMS = "b as (select user_id, album_id, min(t) as lo, max(t) as hi, count(*) as n_photos, arg_min(event_id, (t, event_id)) as first_photo, arg_max(event_id, (t, event_id)) as last_photo from a group by all)"
 SHOW = "select user_id, album_id, make_timestamp(lo*1000) as start, make_timestamp(hi*1000) as \"end\", n_photos from b"
 BY_USER = f"with {GAPS}, {AUTO}, {ALBUMS}"
+POS = "(row_number() over (partition by user_id order by lo) - 1)::int as pos"
+LONG_GAPS = MANUAL.replace("a as", "c as", 1).replace("43200000", "108000000")
+LONG_ALBUMS = ALBUMS.replace("b as", "d as", 1).replace("from a", "from c")
+BOTH = f"with {GAPS}, {AUTO}, {LONG_GAPS}, {ALBUMS}, {LONG_ALBUMS}, x as (select *, 1 as in_b, {POS} from b), y as (select *, 1 as in_d, {POS} from d)"
+CHANGE = "case when in_d is null then 'exit' when in_b is null then 'enter' else 'update' end"
 NAME = "strftime(make_timestamp(lo*1000), '%Y_%m%b_%d') || '_Album_' || (album_id + 1)"
 ONE = [x.replace("partition by user_id ", "").replace("partition by user_id", "").replace("select user_id, album_id", "select album_id").replace("user_id, ", "") for x in (GAPS, AUTO, MANUAL, ALBUMS, SHOW)]
 STATS = "avg(x) as m, stddev_pop(x) as sd, count(x) as n from g group by user_id"
@@ -390,8 +397,8 @@ ORACLE: dict[str, str] = {
     "flatten_moves": "select '/flat/' || (event_id % 97) || '.jpg' as dest, 'move' as action, count(*) as n, count(*) - 1 as n_conflicts from events group by dest",
     "images_only": f"select * from (select o_orderkey, case o_orderkey % 5 when 0 then 'image/jpeg' when 3 then 'image/png' end as mime from ({NAMES_SQL})) where mime is not null",
     "album_photos_json": f"with {GAPS}, {AUTO} select user_id, album_id, '{{\"user_id\":' || user_id || ',\"album_id\":' || album_id || ',\"photos\":[' || string_agg('{{\"t_ms\":' || t || ',\"id\":' || event_id || '}}', ',' order by t, event_id) || ']}}' as json from a group by user_id, album_id",
-    "keyed_diff": "select event_id, case when event_id % 3 = 0 then 'enter' when event_id % 5 = 0 then 'exit' else 'update' end as change from events where event_id % 3 <> 0 or event_id % 5 <> 0",
-    "indexed_diff": f"{BY_USER} select user_id, (row_number() over (partition by user_id order by lo) - 1)::int as pos, case when user_id % 3 = 0 then 'enter' when user_id % 2 <> 0 then 'exit' else 'update' end as change from b where user_id % 3 <> 0 or user_id % 2 = 0",
+    "keyed_diff": f"{BOTH} select user_id, first_photo, {CHANGE} as change from x full join y using (user_id, first_photo)",
+    "indexed_diff": f"{BOTH} select user_id, pos, {CHANGE} as change from x full join y using (user_id, pos)",
     "copy_manifest": f"{BY_USER}, m as (select '/in/' || a.user_id || '/' || (event_id % 40) || '.jpg' as source, '/out/' || {NAME} || '/' || (event_id % 40) || '.jpg' as dest from a join b using (user_id, album_id)) select dest, 'copy' as action, count(*) as n, count(*) - 1 as n_conflicts, min(source) as source from m group by dest",
     "exif_decode": "select event_id, date_trunc('second', ts) as taken, 'Cam' as make, '72' as x_resolution from events",
     "iptc_decode": "select event_id, 'key' as keyword from events",
